@@ -1,0 +1 @@
+"""Intentionally empty: every report is a batch query that is re-run per period."""
