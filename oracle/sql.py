@@ -283,7 +283,7 @@ rates AS (
 """
 DENSITY = f"""
 density AS (
-  SELECT n_nationkey AS parent_id, n_name AS parent_name,
+  SELECT cast(n_nationkey as bigint) AS parent_id, n_name AS parent_name,
          coalesce(p.n, 0) AS providers, q.n AS inhabitants,
          {over('10000 * coalesce(p.n, 0)', 'q.n')} AS density
   FROM nation
@@ -299,7 +299,7 @@ AGGREGATE = (
     + f""",
 vw_5yr_aggregate AS (
   SELECT area_id AS zip_code, c_name AS community_name, c_mktsegment AS region_type,
-         c_nationkey AS parent_id, base, {', '.join(RATES)},
+         cast(c_nationkey as bigint) AS parent_id, base, {', '.join(RATES)},
          density AS obgyn_per_10k_women
   FROM rates JOIN customer ON area_id = c_custkey
   LEFT JOIN density ON c_nationkey = parent_id)
@@ -364,12 +364,12 @@ FROM rates"""
 
 PROPORTIONAL_ALLOCATION = f"""WITH {POOLED},
 children AS (
-  SELECT area_id, c_nationkey AS parent_id, base, mortality_events
+  SELECT area_id, cast(c_nationkey as bigint) AS parent_id, base, mortality_events
   FROM pooled JOIN customer ON area_id = c_custkey),
 parents AS (
   SELECT parent_id AS pid, sum(base) AS parent_base, sum(mortality_events) AS parent_value
   FROM children GROUP BY 1)
-SELECT area_id, parent_id, base, cast(parent_base as bigint) AS parent_base,
+SELECT area_id, parent_id, base, mortality_events, cast(parent_base as bigint) AS parent_base,
        cast(parent_value as bigint) AS parent_value,
        {fixed(over('base', 'parent_base'), 6)} AS share,
        {fixed(over('parent_value * base', 'parent_base'), 4)} AS allocated

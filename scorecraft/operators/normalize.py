@@ -66,13 +66,21 @@ class CompositeSpec:
         return int(weights * 1000) + 2
 
 
-def cohort_bounds(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Minimum and maximum of every column in one pass, as a scalar struct subquery."""
+def cohort_bounds(
+    df: DataFrame, columns: Sequence[str], read_along: Sequence[str] = ()
+) -> Column:
+    """Minimum and maximum of every column in one pass, as a scalar struct subquery.
+
+    ``read_along`` names columns to count too.  It keeps column pruning from giving the
+    subquery a narrower input than the rows it is compared with, so that a shuffled
+    aggregate below both is run once and its exchange reused.
+    """
     require_columns(df, *columns)
-    extremes = []
+    parts = []
     for name in dict.fromkeys(columns):
-        extremes += [F.min(name).alias(f"min_{name}"), F.max(name).alias(f"max_{name}")]
-    return df.agg(F.struct(*extremes)).scalar()
+        parts += [F.min(name).alias(f"min_{name}"), F.max(name).alias(f"max_{name}")]
+    parts += [F.count(name).alias(f"count_{name}") for name in read_along]
+    return df.agg(F.struct(*parts)).scalar()
 
 
 def _scaled(metric: Metric, degenerate: str) -> Column:
@@ -83,7 +91,9 @@ def _scaled(metric: Metric, degenerate: str) -> Column:
     return F.when(high == low, F.lit(0.0)).otherwise(scaled) if degenerate == "zero" else scaled
 
 
-def composite_scores(df: DataFrame, spec: CompositeSpec) -> DataFrame:
+def composite_scores(
+    df: DataFrame, spec: CompositeSpec, read_along: Sequence[str] = ()
+) -> DataFrame:
     """Add the domain scores, the weighted composite on 0-100 and its tier.
 
     Scores are rounded to two decimals before they are weighted, the weighted sum to
@@ -95,7 +105,7 @@ def composite_scores(df: DataFrame, spec: CompositeSpec) -> DataFrame:
         total = reduce(add, parts)
         return rounded(total / len(parts) if len(parts) > 1 else total, 2)
 
-    scored = df.withColumn("bounds", cohort_bounds(df, spec.columns)).select(
+    scored = df.withColumn("bounds", cohort_bounds(df, spec.columns, read_along)).select(
         *df.columns, *[domain_score(domain).alias(domain.score) for domain in spec.domains]
     )
     weighted = reduce(

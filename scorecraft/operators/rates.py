@@ -47,20 +47,23 @@ def pooled_rates(
 
 
 def allocate_by_share(
-    children: DataFrame, parent_values: DataFrame, parent: str, base: str, value: str
+    children: DataFrame, parents: DataFrame, parent: str, base: str, value: str
 ) -> DataFrame:
     """Split each parent's value over its children by their share of the parent's base.
 
-    Parent totals come from a grouped sum rather than a window, so a parent that owns
-    a third of the children is combined map-side instead of sorted in one task.  A
-    parent whose base is zero allocates NULL.
+    ``parents(parent, value)`` may bring its own ``parent_base``; otherwise it is the
+    sum over the children, as a grouped sum rather than a window, so that a parent
+    that owns a third of the children is combined map-side instead of sorted in one
+    task.  A parent whose base is zero allocates NULL.
     """
-    totals = children.groupBy(parent).agg(F.sum(base).alias("parent_base"))
-    share = ratio(F.col(base), F.col("parent_base"))
+    if "parent_base" not in parents.columns:
+        totals = children.groupBy(parent).agg(F.sum(base).alias("parent_base"))
+        parents = totals.join(parents, parent)
+    whole = F.col("parent_base")
     return (
-        children.join(totals.join(parent_values, parent), parent)
-        .withColumn("share", rounded(share, 6))
-        .withColumn("allocated", rounded(ratio(F.col(value) * F.col(base), F.col("parent_base")), 4))
+        children.join(parents, parent)
+        .withColumn("share", rounded(ratio(F.col(base), whole), 6))
+        .withColumn("allocated", rounded(ratio(F.col(value) * F.col(base), whole), 4))
     )
 
 

@@ -32,7 +32,7 @@ SOCIAL_RISK = CompositeSpec(
 def risk_stratification(members: DataFrame, spec: CompositeSpec = SOCIAL_RISK) -> DataFrame:
     """Members, mean score and cost by risk tier and population segment."""
     return (
-        composite_scores(members, spec)
+        composite_scores(members, spec, read_along=["cost"])
         .groupBy(spec.tier, "segment")
         .agg(
             F.count(F.lit(1)).alias("members"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.functions.numeric import presentable, rounded
+from scorecraft.operators.joins import broadcast_if_counted
 from scorecraft.operators.rates import allocate_by_share, benchmark_excess, flag_small_base
 from scorecraft.operators.validation import reconcile
 from scorecraft.plans import facility_quality as quality
@@ -57,20 +58,20 @@ def multi_year_rates(db: StarSchema) -> DataFrame:
 
 
 def proportional_allocation(db: StarSchema) -> DataFrame:
-    """The nation's mortality events, split over its customers by their lines."""
-    children = adapters.pooled_area_rates(db).join(
-        adapters.areas(db).select("area_id", "parent_id"), "area_id"
-    )
-    parent_values = children.groupBy("parent_id").agg(
-        F.sum("mortality_events").alias("parent_value")
+    """The nation's mortality events, split over its customers by their lines.
+
+    The customers' own events stay in the result, beside what they were allocated.
+    """
+    children = (
+        adapters.pooled_area_rates(db)
+        .join(adapters.areas(db).select("area_id", "parent_id"), "area_id")
+        .select("area_id", "parent_id", "base", "mortality_events")
     )
-    return allocate_by_share(
-        children.select("area_id", "parent_id", "base"),
-        parent_values,
-        parent="parent_id",
-        base="base",
-        value="parent_value",
+    parents = children.groupBy("parent_id").agg(
+        F.sum("base").alias("parent_base"), F.sum("mortality_events").alias("parent_value")
     )
+    parents = broadcast_if_counted(parents, adapters.parent_areas(db))
+    return allocate_by_share(children, parents, "parent_id", "base", "parent_value")
 
 
 def provider_density(db: StarSchema) -> DataFrame:
