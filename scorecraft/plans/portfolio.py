@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorecraft.functions.banding import VULNERABILITY_TIERS
-from scorecraft.functions.numeric import mean, ratio, rounded
+from scorecraft.functions.numeric import exact_sum, mean, ratio, rounded
 from scorecraft.operators.normalize import CompositeSpec, Domain, Metric, composite_scores
 from scorecraft.operators.rates import Rate
 from scorecraft.operators.validation import clean_records, reject_duplicates
@@ -43,9 +43,13 @@ def risk_stratification(members: DataFrame, spec: CompositeSpec = SOCIAL_RISK) -
     )
 
 
-def claims_reimbursement(claims: DataFrame, min_claims: int = 50) -> DataFrame:
+def claims_reimbursement(
+    claims: DataFrame, min_claims: int = 50, unit: str = "1"
+) -> DataFrame:
     """Paid ratio and denial rate by code group and payer, with subtotals.
 
+    ``billed`` and ``paid`` are whole numbers of ``unit``.
+
     ``grouping_level`` is 0 for a pair, 1 for a code group and 3 for the grand total.
     Pairs with fewer than ``min_claims`` claims are left out (after subtotals are
     formed), and ``denial_rank`` orders the payers of a code group.
@@ -54,8 +58,8 @@ def claims_reimbursement(claims: DataFrame, min_claims: int = 50) -> DataFrame:
     pairs = claims.groupBy("code_group", "payer").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("denied").alias("n_denied"),
-        F.sum("billed").alias("sum_billed"),
-        F.sum("paid").alias("sum_paid"),
+        exact_sum(F.col("billed"), unit).alias("sum_billed"),
+        exact_sum(F.col("paid"), unit).alias("sum_paid"),
     )
     levels = (
         pairs.rollup("code_group", "payer")

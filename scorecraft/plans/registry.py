@@ -146,7 +146,9 @@ REPORTS: dict[str, Callable[[StarSchema], DataFrame]] = {
         _flags(db), adapters.workstream_dependency(db)
     ),
     "risk_stratification": lambda db: portfolio.risk_stratification(adapters.members(db)),
-    "claims_reimbursement": lambda db: portfolio.claims_reimbursement(adapters.claims(db)),
+    "claims_reimbursement": lambda db: portfolio.claims_reimbursement(
+        adapters.claims(db), unit=adapters.CENT_PERCENT
+    ),
     "source_reconciliation": source_reconciliation,
     "clean_normalize": lambda db: portfolio.clean_orders(adapters.raw_orders(db)),
     "predictive_features": lambda db: quality.predictive_features(adapters.quality_measures(db)),

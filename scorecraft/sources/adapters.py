@@ -9,11 +9,13 @@ threshold and otherwise shuffles, with AQE splitting skewed partitions.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorecraft.functions.numeric import ratio, rounded
+from scorecraft.functions.numeric import exact_sum, hundredths, ratio, rounded
 from scorecraft.operators.joins import broadcast_if_counted
 from scorecraft.operators.rates import Rate, pooled_rates, provider_density
 from scorecraft.sources.tables import StarSchema
@@ -31,12 +33,7 @@ AREA_RATES = (
 )
 
 
-def _money(name: str) -> Column:
-    return F.col(name).cast("decimal(12,2)")
-
-
-def _share(name: str) -> Column:
-    return F.col(name).cast("decimal(4,2)")
+CENT, CENT_PERCENT = "0.01", "0.0001"  # worth of a unit: hundredths, and their product
 
 
 # ---- program performance ----
@@ -51,11 +48,12 @@ def workstreams(db: StarSchema) -> DataFrame:
 
 def weekly_performance(db: StarSchema) -> DataFrame:
     """Workstream (the supplier's nation) by week of shipment."""
+    price = hundredths(F.col("l_extendedprice"))
     lines = db.table("lineitem").select(
         "l_suppkey",
         F.trunc(F.to_date("l_shipdate"), "week").alias("report_week"),
-        _money("l_extendedprice").alias("price"),
-        (_money("l_extendedprice") * (1 + _share("l_tax"))).alias("gross"),
+        price.alias("price"),
+        (price * (100 + hundredths(F.col("l_tax")))).alias("gross"),
         "l_linestatus",
         "l_returnflag",
     )
@@ -63,22 +61,20 @@ def weekly_performance(db: StarSchema) -> DataFrame:
         "s_suppkey", F.col("s_nationkey").cast("bigint").alias("workstream_id")
     )
 
-    def scaled(factor: str, amount: Column) -> Column:
-        total = F.coalesce(F.sum(amount), F.lit(0).cast("decimal(4,2)"))
-        return (F.lit(factor).cast("decimal(2,2)") * total).cast("decimal(18,2)")
+    def total(units: Column, unit: str) -> Column:
+        return F.coalesce(exact_sum(units, unit), F.lit(Decimal(0))).cast("decimal(18,2)")
 
     weekly = (
         lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("workstream_id", "report_week")
         .agg(
-            scaled("0.50", F.col("price")).alias("planned_value"),
-            F.coalesce(
-                F.sum(F.when(F.col("l_linestatus") == "F", F.col("price"))),
-                F.lit(0).cast("decimal(4,2)"),
-            )
-            .cast("decimal(18,2)")
-            .alias("earned_value"),
-            scaled("0.72", F.when(F.col("l_returnflag") != "R", F.col("gross"))).alias(
+            # half the price of all lines, the price of finished lines, and 72 % of the
+            # taxed price of lines not returned
+            total(F.col("price"), "0.005").alias("planned_value"),
+            total(F.when(F.col("l_linestatus") == "F", F.col("price")), CENT).alias(
+                "earned_value"
+            ),
+            total(F.when(F.col("l_returnflag") != "R", F.col("gross")), "0.000072").alias(
                 "actual_cost"
             ),
         )
@@ -270,6 +266,9 @@ def quality_measures(db: StarSchema) -> DataFrame:
     def pct(condition: Column, name: str) -> Column:
         return (F.count_if(condition) * F.lit(100.0) / lines).alias(name)
 
+    def average(name: str) -> Column:
+        return ratio(exact_sum(hundredths(F.col(name)), CENT), lines)
+
     return (
         _quarter_lines(db)
         .groupBy(F.col("l_suppkey").alias("cms_certification_number"), "quarter_day")
@@ -279,10 +278,8 @@ def quality_measures(db: StarSchema) -> DataFrame:
             pct(F.col("l_discount") >= 0.08, "pressure_ulcer_rate"),
             pct(F.col("l_tax") >= 0.07, "fall_injury_rate"),
             pct(F.col("l_quantity") >= 25, "pain_management_rate"),
-            (ratio(F.sum(_money("l_quantity")), lines) / 40).alias("rn_hours_per_resident"),
-            (ratio(F.sum(_money("l_extendedprice")), lines) / 20000).alias(
-                "cna_hours_per_resident"
-            ),
+            (average("l_quantity") / 40).alias("rn_hours_per_resident"),
+            (average("l_extendedprice") / 20000).alias("cna_hours_per_resident"),
             F.count_if((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias(
                 "health_deficiency_count"
             ),
@@ -309,17 +306,15 @@ def latest_quarter(db: StarSchema) -> DataFrame:
 def claims(db: StarSchema) -> DataFrame:
     """Order lines as claims: code group of the part, payer by the supplier's nation.
 
-    A returned line counts as denied and pays nothing.
+    Amounts count ``CENT_PERCENT``.  A returned line is denied and pays nothing.
     """
     denied = F.col("l_returnflag") == "R"
-    billed = _money("l_extendedprice")
-    paid = F.when(denied, F.lit(0).cast("decimal(4,2)")).otherwise(
-        billed * (1 - _share("l_discount"))
-    )
+    price = hundredths(F.col("l_extendedprice"))
+    paid = F.when(denied, F.lit(0)).otherwise(price * (100 - hundredths(F.col("l_discount"))))
     lines = db.table("lineitem").select(
         "l_partkey",
         "l_suppkey",
-        billed.alias("billed"),
+        (price * 100).alias("billed"),
         paid.alias("paid"),
         denied.alias("denied"),
     )
@@ -348,7 +343,10 @@ def line_totals(db: StarSchema) -> DataFrame:
         db.table("lineitem")
         .groupBy(F.col("l_orderkey").alias("record_id"))
         .agg(
-            F.sum(_money("l_extendedprice") * (1 - _share("l_discount")))
+            exact_sum(
+                hundredths(F.col("l_extendedprice")) * (100 - hundredths(F.col("l_discount"))),
+                CENT_PERCENT,
+            )
             .cast("decimal(18,2)")
             .alias("amount")
         )
@@ -375,7 +373,7 @@ def members(db: StarSchema) -> DataFrame:
         F.count(F.lit(1)).alias("visits"),
         F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
         F.count_if(F.col("o_orderstatus") == "O").alias("unresolved"),
-        F.sum(F.col("o_totalprice").cast("decimal(12,2)")).alias("cost"),
+        exact_sum(hundredths(F.col("o_totalprice")), CENT).alias("cost"),
     )
     people = db.table("customer").select(
         F.col("c_custkey").alias("member_id"),
