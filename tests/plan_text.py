@@ -9,7 +9,6 @@ import re
 
 def executed_plan(df) -> str:
     """The formatted final plan, subqueries included, after running it once."""
-    df.write.format("noop").mode("overwrite").save()
     text = io.StringIO()
     df.collect()  # the frame's own plan is final only once the frame itself has run
     with contextlib.redirect_stdout(text):
@@ -17,8 +16,11 @@ def executed_plan(df) -> str:
     return re.sub(r"\+- == Initial Plan ==.*?(?=\n\n)", "", text.getvalue(), flags=re.S)
 
 
-def operators(plan: str, name: str) -> int:
-    return len(re.findall(rf"^[ :+\-*]*{re.escape(name)} +\(\d+\)|^[ :+\-*]*{re.escape(name)} \(", plan, re.M))
+def exchanges(plan: str, partitioning: str) -> int:
+    """Shuffles of the final plan whose partitioning starts with the given text."""
+    ids = set(re.findall(r"^[ :+\-*]*Exchange +\((\d+)\)", plan, re.M))
+    details = re.findall(r"^\((\d+)\) Exchange\b.*?^Arguments: (.*?)$", plan, re.M | re.S)
+    return sum(1 for i, text in details if i in ids and text.startswith(partitioning))
 
 
 def scans(plan: str, table: str) -> int:
