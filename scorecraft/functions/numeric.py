@@ -55,8 +55,9 @@ def mean(value: Column) -> Column:
 
 
 def fixed_mean(value: Column) -> Column:
-    """Mean of a double column, summed as decimals so that it is order-free."""
-    return mean(value.cast(RATIO))
+    """Mean of a double column, summed as whole millionths so that it is order-free."""
+    millionths = F.rint(value * 1_000_000).cast("bigint")
+    return ratio(exact_sum(millionths, "0.000001"), F.count(value))
 
 
 def presentable(df: DataFrame) -> DataFrame:

@@ -118,26 +118,31 @@ def area_rollup(
 ) -> DataFrame:
     """Totals and pooled rates from the smallest area up to the grand total.
 
-    ``grouping_level`` has one bit per level that is summed away, the last level's
-    bit lowest.
+    ``pooled`` has one row per smallest area (the last of ``levels``), so these rows are
+    taken as they are, and only their totals by the level above are rolled up.
+    ``grouping_level`` has one bit per level that is summed away, the last level's bit
+    lowest.
     """
-    events = [rate.events for rate in rates]
-    return (
-        pooled.rollup(*levels)
-        .agg(
-            F.grouping_id().cast("int").alias("grouping_level"),
-            F.count(F.lit(1)).alias("areas"),
-            F.sum(base).alias(base),
-            *[F.sum(name).alias(name) for name in events],
-        )
-        .select(
-            "grouping_level",
-            *levels,
-            "areas",
-            base,
-            *[
-                rounded(ratio(rate.factor * F.col(rate.events), F.col(base)), 3).alias(rate.name)
-                for rate in rates
-            ],
-        )
+    *upper, smallest = levels
+    names = [base, *[rate.events for rate in rates]]
+    sums = [F.sum(name).alias(name) for name in names]
+    above = pooled.groupBy(*upper).agg(F.count(F.lit(1)).alias("areas"), *sums)
+    totals = above.rollup(*upper).agg(
+        (F.shiftleft(F.grouping_id(), 1) + 1).cast("int").alias("grouping_level"),
+        F.sum("areas").alias("areas"),
+        *sums,
+    )
+    leaves = pooled.select(
+        F.lit(0).alias("grouping_level"), *levels, F.lit(1).cast("bigint").alias("areas"), *names
+    )
+    no_leaf = F.lit(None).cast(pooled.schema[smallest].dataType)
+    return leaves.unionByName(totals.withColumn(smallest, no_leaf)).select(
+        "grouping_level",
+        *levels,
+        "areas",
+        base,
+        *[
+            rounded(ratio(rate.factor * F.col(rate.events), F.col(base)), 3).alias(rate.name)
+            for rate in rates
+        ],
     )

@@ -1,10 +1,15 @@
 """Scorecard inputs derived from the star schema.
 
-Every fact is reduced with map-side partial sums before it meets a dimension on the
-same key, so a supplier, order or customer that owns a large share of the lines
-reaches a reducer as at most one row per map task and period.  Joins carry no hints:
-Catalyst broadcasts a side only when its measured size is under the session's
-threshold and otherwise shuffles, with AQE splitting skewed partitions.
+Where a fact is grouped by the key it is joined on (lines to orders, lines to
+facilities) it is reduced first, with map-side partial sums, so that an order or a
+facility with a large share of the lines reaches a reducer as one row per map task
+and the join reuses the aggregate's partitioning.  Where a dimension only supplies the
+grouping column (supplier to nation, part to code group) the lines are joined as they
+are: grouping by the finer key first would shuffle more.
+
+Joins of stored tables carry no hints: Catalyst broadcasts a side only when its
+measured size is under the session's threshold and otherwise shuffles both, with AQE
+splitting the partitions of a hot key.
 """
 
 from __future__ import annotations

@@ -94,3 +94,23 @@ def test_clean_orders_types(spark):
     assert row.amount == Decimal("2000.50")
     assert row.order_date == datetime.date(2024, 1, 1)
     assert row.reject_reason is None
+
+
+def test_area_rollup(spark):
+    from scorecraft.operators.rates import Rate
+
+    df = spark.createDataFrame(
+        [("IL", "Cook", 1, 100, 10), ("IL", "Cook", 2, 50, 0), ("IL", "White", 3, 50, 10),
+         ("WI", "Dane", 4, 0, 0)],
+        "state string, county string, zip int, base bigint, events bigint")
+    got = {(r.grouping_level, r.state, r.county, r.zip):
+           (r.areas, r.base, None if r.rate is None else float(r.rate))
+           for r in portfolio.area_rollup(df, ["state", "county", "zip"],
+                                          (Rate("rate", "events", 100),)).collect()}
+    assert got == {
+        (0, "IL", "Cook", 1): (1, 100, 10.0), (0, "IL", "Cook", 2): (1, 50, 0.0),
+        (0, "IL", "White", 3): (1, 50, 20.0), (0, "WI", "Dane", 4): (1, 0, None),
+        (1, "IL", "Cook", None): (2, 150, 6.667), (1, "IL", "White", None): (1, 50, 20.0),
+        (1, "WI", "Dane", None): (1, 0, None),
+        (3, "IL", None, None): (3, 200, 10.0), (3, "WI", None, None): (1, 0, None),
+        (7, None, None, None): (4, 200, 10.0)}
