@@ -654,7 +654,7 @@ SELECT coalesce(l.record_id, r.record_id) AS record_id, {dbl('left_value', 'righ
 FROM l FULL JOIN r ON l.record_id = r.record_id"""
 
 CLEAN_NORMALIZE = """WITH typed AS (
-  SELECT cast(o_orderkey as varchar) AS record_id, lower(trim(o_orderstatus)) AS status,
+  SELECT o_orderkey AS record_id, lower(trim(o_orderstatus)) AS status,
          try_cast(split_part(o_orderpriority, '-', 1) as integer) AS priority_code,
          lower(trim(split_part(o_orderpriority, '-', 2))) AS priority_name,
          cast(o_totalprice as decimal(18,2)) AS amount, cast(o_orderdate as date) AS order_date,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 def clean_records(
     raw: DataFrame,
-    record_id: str,
     texts: Sequence[str],
     types: Mapping[str, str],
     checks: Mapping[str, Column],
@@ -22,7 +21,6 @@ def clean_records(
     records have a NULL ``reject_reason``.
     """
     typed = raw.select(
-        record_id,
         *[
             F.lower(F.trim(name)).alias(name)
             if name in texts
@@ -30,8 +28,7 @@ def clean_records(
             if name in types
             else F.col(name)
             for name in raw.columns
-            if name != record_id
-        ],
+        ]
     )
     reason = F
     for name in types:
@@ -42,20 +39,21 @@ def clean_records(
 
 
 def reject_duplicates(
-    records: DataFrame, keys: Sequence[str], record_id: str, order: Sequence[str]
+    records: DataFrame, keys: Sequence[str], record_id: str, version: Column
 ) -> DataFrame:
-    """Keep, per key, the valid record that is greatest by ``order``; reject the others.
+    """Keep, per key, the valid record with the greatest ``version``; reject the others.
 
-    ``ROW_NUMBER() = 1`` as an aggregate: the greatest ``order`` struct per key is found
+    ``ROW_NUMBER() = 1`` as an aggregate: the record with the greatest version is found
     map-side first, so a key repeated in a third of the table is never sorted in one
-    task.  ``order`` must end in something unique, and survivors are matched back by
-    the unique record id, which cannot be skewed.
+    task.  Survivors are matched back by ``record_id``, which is unique and so cannot be
+    skewed.  ``version`` must be unique within a key, and both of fixed width (numbers,
+    dates), so that Spark can aggregate them by hash without sorting.
     """
     valid = records.where(F.col("reject_reason").isNull())
-    survivors = valid.groupBy(*keys).agg(F.max_by(record_id, F.struct(*order)).alias("survivor"))
-    marked = records.join(
-        survivors.select("survivor"), F.col(record_id) == F.col("survivor"), "left"
-    )
+    survivors = valid.groupBy(*keys).agg(F.max_by(record_id, version).alias("survivor"))
+    # about as many survivors as records: never worth a broadcast
+    kept = survivors.select("survivor").hint("merge")
+    marked = records.join(kept, F.col(record_id) == F.col("survivor"), "left")
     duplicate = F.col("reject_reason").isNull() & F.col("survivor").isNull()
     return marked.withColumn(
         "reject_reason", F.when(duplicate, "duplicate").otherwise(F.col("reject_reason"))

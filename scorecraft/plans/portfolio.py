@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -92,12 +93,15 @@ def claims_reimbursement(
 
 
 def clean_orders(raw: DataFrame) -> DataFrame:
-    """Typed orders with a reject reason; one valid order per customer and day is kept."""
+    """Typed orders with a reject reason.
+
+    Of a customer's valid orders on one day the largest is kept, the last on a tie.
+    """
     typed = clean_records(
         raw,
-        record_id="record_id",
         texts=["status", "priority_name"],
         types={
+            "record_id": "bigint",
             "priority_code": "int",
             "amount": "decimal(18,2)",
             "order_date": "date",
@@ -108,9 +112,11 @@ def clean_orders(raw: DataFrame) -> DataFrame:
             "unknown_status": F.col("status").isin("o", "f", "p"),
         },
     )
-    return reject_duplicates(
-        typed, ["customer_id", "order_date"], "record_id", order=["amount", "record_id"]
+    # amount in cents, then 19 digits for the record number
+    version = (F.col("amount") * 100).cast("decimal(19,0)") * F.lit(Decimal(10) ** 19) + F.col(
+        "record_id"
     )
+    return reject_duplicates(typed, ["customer_id", "order_date"], "record_id", version)
 
 
 def area_rollup(

@@ -18,7 +18,7 @@ def test_clean_records(spark):
          ("5", "open", "-1", "2024-02-01"), ("6", None, "3", "2024-02-01")],
         "id string, status string, amount string, day string")
     df = clean_records(
-        raw, "id", texts=["status"], types={"amount": "decimal(9,2)", "day": "date"},
+        raw, texts=["status"], types={"amount": "decimal(9,2)", "day": "date"},
         checks={"amount_out_of_range": F.col("amount") >= 0,
                 "unknown_status": F.col("status") == "open"})
     got = {r.id: (r.status, r.reject_reason) for r in df.collect()}
@@ -34,7 +34,7 @@ def test_duplicates_keep_the_greatest_valid_record(spark):
          (5, "m", 1, None), (6, None, 1, None), (7, None, 2, None)],
         "id int, key string, amount int, reject_reason string")
     got = {r.id: r.reject_reason for r in
-           reject_duplicates(df, ["key"], "id", order=["amount", "id"]).collect()}
+           reject_duplicates(df, ["key"], "id", F.col("amount") * 100 + F.col("id")).collect()}
     assert got == {1: "duplicate", 2: "duplicate", 3: "bad", 4: None, 5: None,
                    6: "duplicate", 7: None}
 
@@ -43,7 +43,7 @@ def test_hot_key_loses_no_record(spark):
     df = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"),
         F.lit(None).cast("string").alias("reject_reason"))
-    marked = reject_duplicates(df, ["key"], "id", order=["id"])
+    marked = reject_duplicates(df, ["key"], "id", F.col("id"))
     counts = {r.reject_reason: r["count"] for r in marked.groupBy("reject_reason").count().collect()}
     assert counts == {None: 2001, "duplicate": 999}
 
