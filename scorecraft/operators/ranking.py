@@ -74,8 +74,10 @@ def rank_overall_and_within(
     ).drop("hist_group", "hist_score")
 
 
-def number_rows(df: DataFrame, *order: Column, name: str = "row_number") -> DataFrame:
-    """1-based position of every row in the given total order.
+def number_rows(
+    df: DataFrame, *order: Column, name: str = "row_number", total: str | None = None
+) -> DataFrame:
+    """1-based position of every row in the given total order, and the ``total`` of rows.
 
     Rows are range-partitioned by the full order (a unique last column lets a hot
     leading value spread over partitions) and sorted inside their partition.  The
@@ -96,10 +98,15 @@ def number_rows(df: DataFrame, *order: Column, name: str = "row_number") -> Data
         .checkpoint()
     )
     earlier = W.orderBy("size_part").rowsBetween(W.unboundedPreceding, -1)
+    everywhere = earlier.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = (
         ordered.groupBy(F.col("part").alias("size_part"))
         .agg(F.count(F.lit(1)).alias("size"))
-        .select("size_part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
+        .select(
+            "size_part",
+            F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
+            *([F.sum("size").over(everywhere).alias(total)] if total else []),
+        )
     )
     return (
         ordered.join(F.broadcast(offsets), F.col("part") == F.col("size_part"))
@@ -143,9 +150,8 @@ def rank_unbounded(df: DataFrame, score: str, name: str) -> DataFrame:
 
 def ntile(df: DataFrame, buckets: int, *order: Column, name: str = "bucket") -> DataFrame:
     """``NTILE(buckets)`` over a total order; the first ``n % buckets`` get one row more."""
-    numbered = number_rows(df, *order, name="tile_row")
-    counted = numbered.withColumn("tile_rows", numbered.agg(F.count(F.lit(1))).scalar())
-    sized = counted.selectExpr(
+    numbered = number_rows(df, *order, name="tile_row", total="tile_rows")
+    sized = numbered.selectExpr(
         "*",
         f"tile_rows div {buckets} AS small",
         f"tile_rows % {buckets} AS larger",
