@@ -36,11 +36,8 @@ SCHEMA = "shard int, segment int, first_id long, n_ids long, payload binary"
 
 
 def _widths(offsets: np.ndarray) -> np.ndarray:
-    """Bits that each number takes."""
-    out = np.zeros(offsets.shape, np.int64)
-    for bit in range(32):
-        out += offsets >= np.uint64(1 << bit)
-    return out
+    """Bits that each number takes; exact, as they are far below 2**53."""
+    return np.frexp(offsets.astype(np.float64))[1].astype(np.int64)
 
 
 def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarray, bytes]:

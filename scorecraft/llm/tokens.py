@@ -150,7 +150,10 @@ class Encoder:
         owner = tx.document_of(starts, bounds)
         keys = tx.SpanHash(data)(starts, stops)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        missing = ~np.isin(distinct, self.keys, assume_unique=True)
+        missing = np.ones(len(distinct), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+            missing = self.keys[at] != distinct
         if missing.sum() + len(self.keys) > KEPT_PIECES:
             self._forget()
             missing[:] = True
