@@ -4,11 +4,11 @@
    By that order every set has a prefix so long that two similar sets share a shingle of
    their prefixes: a set that shares none has too small a bound on its overlap.
 2. Equal sets become one class.  Classes whose minimum hashes collide are compared with the
-   least class of their bucket; verified links make groups of similar documents.
+   few of their bucket that collide most; verified links make groups of similar documents.
 3. The token-group matrix has a row for each shingle and group: the union of its members'
    prefixes, with the range of their sizes.  A class meets the groups in the rows of its own
    prefix; only a group whose bound on the overlap reaches the threshold qualifies and is
-   opened, and only its members that qualify themselves are compared with the class.
+   opened, and only its members whose own bound reaches it are compared with the class.
 4. Every comparison is exact, over whole sets; links join groups to components.
 
 The result is exact whatever was counted in 1 or collided in 2; these decide the work only.
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorecraft.llm import text as tx
@@ -33,6 +33,8 @@ MOST_FREQUENT, LEAST_FREQUENT = 1 << 20, 8
 #: Ids up to which a checked list of documents is broadcast instead of shuffling texts.
 BROADCAST_IDS = 2_000_000
 BANDS, BAND_ROWS = 8, 4
+#: Classes of a bucket that its others are compared with to make groups.
+CENTRES = 3
 
 
 @dataclass(frozen=True)
@@ -242,56 +244,114 @@ def join(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     documents = documents.select("doc_id", "text")
     found = stored(features(documents, rule))
     sized = found.where("doc_id is not null and n > 0")
-    classes = sized.groupBy("f1", "f2").agg(F.min("doc_id").alias("class"))
-    of_class = stored(sized.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "class"))
-    reps = stored(
-        sized.join(of_class.where("doc_id = class").distinct(), "doc_id").select(
-            "class", "n", "bands", "prefix"
-        )
+    narrow = sized.select("doc_id", "f1", "f2")
+    classes = narrow.groupBy("f1", "f2").agg(F.min("doc_id").alias("class"))
+    of_class = stored(narrow.join(classes, ["f1", "f2"]).select("doc_id", "class"))
+    reps = of_class.where("doc_id = class").select("class").distinct()
+
+    # groups: links with the classes that most others in a bucket of equal hashes are near
+    banded = stored(
+        sized.select(F.col("doc_id").alias("class"), F.explode("bands").alias("band"))
+        .join(reps, "class", "left_semi")
+        .distinct()
+    )
+    crowds = banded.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    crowded = stored(banded.join(crowds, "band"))
+    fame = crowded.groupBy("class").agg(F.sum("crowd").alias("fame"))
+    first = Window.partitionBy("band").orderBy(F.desc("fame"), "class")
+    centres = (
+        crowded.join(fame, "class")
+        .withColumn("nth", F.row_number().over(first))
+        .where(F.col("nth") <= CENTRES)
+        .select("band", F.col("class").alias("b"))
     )
-
-    # groups: links with the least class of a bucket of equal minimum hashes
-    banded = reps.select("class", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("class").alias("b"))
     near = (
-        banded.join(least, "band").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
+        crowded.join(centres, "band")
+        .where("class <> b")
+        .select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b"))
+        .distinct()
     )
     first_links = stored(linked(stored(near), documents, rule))
     groups = stored(components(first_links))
     grouped = reps.join(groups, reps["class"] == groups["node"], "left").select(
-        "class", "n", "prefix", F.coalesce("component", "class").alias("grp")
+        "class", F.coalesce("component", "class").alias("grp")
     )
 
-    # the matrix: shingles by groups, with the range of sizes behind each entry
-    entries = stored(
-        grouped.select(F.explode("prefix").alias("token"), "class", "n", "grp").repartition("token")
+    # the matrix: shingles by groups; a shingle of one group only can match nothing
+    entries = (
+        sized.select("doc_id", "n", "prefix")
+        .join(grouped, F.col("doc_id") == F.col("class"))
+        .select("class", "n", "grp", F.posexplode("prefix").alias("pos", "token"))
+        .repartition("token")
+    )
+    lone = F.min("grp") < F.max("grp")
+    shared = entries.groupBy("token").agg(lone.alias("several")).where("several").select("token")
+    asking = stored(entries.join(shared, "token", "left_semi"))
+    matrix = asking.groupBy("token", F.col("grp").alias("other")).agg(
+        F.min("n").alias("low"),
+        F.max("n").alias("high"),
+        F.min("class").alias("b"),
+        F.max("class").alias("last"),
+        F.max("pos").alias("at"),
     )
-    matrix = entries.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    shared = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    asking = entries.join(shared.select("token"), "token", "left_semi")
-    other = matrix.withColumnRenamed("grp", "other")
     fits = (
         (F.col("other") < F.col("grp"))
         & (F.col("high") * 100 >= F.col("n") * rule.percent)
         & (F.col("low") * rule.percent <= F.col("n") * 100)
     )
-    qualifying = stored(asking.join(other, "token").where(fits).select("class", "other").distinct())
 
-    # open a qualifying group: its members that share a shingle of the class's prefix
-    tokens = asking.join(qualifying, "class").select("class", "other", "token", "n")
-    members = entries.select(
-        "token", F.col("grp").alias("other"), F.col("class").alias("b"), F.col("n").alias("m")
+    def enough(n: str, m: str) -> F.Column:
+        """Whether the shingles shared so far and those after the last of them, in the one
+        order of all shingles, can make up the overlap that the threshold asks for."""
+        most = F.col("shared") + F.least(F.col(n) - F.col("i") - 1, F.col(m) - F.col("j") - 1)
+        return most * (100 + rule.percent) >= (F.col(n) + F.col(m)) * rule.percent
+
+    met = (
+        asking.join(matrix, "token")
+        .where(fits)
+        .groupBy("class", "other")
+        .agg(
+            F.count(F.lit(1)).alias("shared"),
+            F.first("n").alias("n"),
+            F.min("low").alias("low"),
+            F.max("pos").alias("i"),
+            F.max("at").alias("j"),
+            F.min("b").alias("b"),
+            F.max("last").alias("last"),
+        )
+    )
+    # the group of one member is bounded like that member; others qualify by sharing a shingle
+    qualifying = stored(met.where((F.col("b") < F.col("last")) | enough("n", "low")))
+    alone = qualifying.where("b = last").select(F.col("class").alias("a"), "b")
+
+    # open a group of several: its members that share a shingle of the class's prefix
+    opened = qualifying.where("b < last").select("class", "other")
+    tokens = asking.join(opened, "class").select("class", "other", "token", "n", "pos")
+    members = asking.select(
+        "token",
+        F.col("grp").alias("other"),
+        F.col("class").alias("b"),
+        F.col("n").alias("m"),
+        F.col("pos").alias("at"),
     )
     close = (F.col("n") * 100 >= F.col("m") * rule.percent) & (
         F.col("m") * 100 >= F.col("n") * rule.percent
     )
-    open_pairs = (
+    inside = (
         tokens.join(members, ["token", "other"])
         .where(close)
-        .select(F.col("class").alias("a"), "b")
-        .distinct()
+        .groupBy(F.col("class").alias("a"), "b")
+        .agg(
+            F.count(F.lit(1)).alias("shared"),
+            F.first("n").alias("n"),
+            F.first("m").alias("m"),
+            F.max("pos").alias("i"),
+            F.max("at").alias("j"),
+        )
+        .where(enough("n", "m"))
+        .select("a", "b")
     )
-    more_links = linked(stored(open_pairs), documents, rule)
+    more_links = linked(stored(alone.unionByName(inside)), documents, rule)
 
     final = components(first_links.unionByName(more_links))
     class_of = of_class.select(F.col("doc_id").alias("id"), "class")
