@@ -35,7 +35,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    forest = quality_rules.train(docs, table(spark, sf_dir, "labels"))
+    # fitted on the given documents: those that the first stage leaves are nearly all good
+    forest = quality_rules.train(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
     return quality_rules.keep_good(docs, forest)
 
 

@@ -47,7 +47,7 @@ class Plan:
             return Plan(dim, 32, 1, 8)
         polytopes = 2 if rows < 1 << 19 else 3
         start = 10_000 if polytopes == 2 else 1 << 19
-        probes = (80 if polytopes == 2 else 200) * (start / rows) ** 0.56
+        probes = (80 if polytopes == 2 else 200) * (start / rows) ** 0.65
         return Plan(dim, 32, polytopes, max(8, round(probes)))
 
     @property

@@ -128,7 +128,7 @@ class Forest:
         node = np.zeros((len(x), len(trees)), np.int64)
         inner = self.feature.shape[1]
         rows = np.arange(len(x))[:, None]
-        while inner and len(x) and node[0, 0] < inner:
+        while node.size and node[0, 0] < inner:
             right = x[rows, self.feature[trees, node]] > self.threshold[trees, node]
             node = 2 * node + 1 + right
         total = self.base + self.leaf[trees, node - inner].sum(1)
