@@ -25,6 +25,10 @@ HEADLINE = (
     "quality_scores",
     "staffing_quartiles",
     "trajectory_segments",
+    "delay_cascade",
+    "disparity_gap",
+    "primary_driver",
+    "region_contrast",
 )
 RUNS = 3
 

@@ -157,19 +157,6 @@ summary AS (
 )
 PROGRAM_SUMMARY = f"WITH {SUMMARY} SELECT * FROM summary"
 
-FLAG_REGISTER = f"""WITH {FLAGS},
-entries AS (
-  SELECT workstream_id, workstream_name, 'cost' AS risk_type, cost_risk_flag AS severity,
-         cast(cpi as double) AS "value" FROM flags
-  UNION ALL SELECT workstream_id, workstream_name, 'schedule', schedule_risk_flag,
-         cast(spi as double) FROM flags
-  UNION ALL SELECT workstream_id, workstream_name, 'completion', completion_risk_flag,
-         cast(pct_complete_variance as double) FROM flags
-  UNION ALL SELECT workstream_id, workstream_name, 'budget', budget_exposure_flag,
-         cast(projected_overrun as double) FROM flags)
-SELECT * FROM entries WHERE severity NOT IN ('ON_TRACK', 'UNDER_BUDGET')"""
-
-
 def level(flag: str) -> str:
     return (
         f"CASE {flag} WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'WATCH' THEN 1 ELSE 0 END"
@@ -210,6 +197,23 @@ SELECT workstream_id, report_week, cast(cpi as double) AS cpi,
        last_seq - rise_seq AS falling_weeks, last_seq - rise_seq >= 3 AS alert
 FROM steps JOIN last_rise ON workstream_id = ws AND seq = last_seq"""
 
+FLAG_REGISTER = f"""WITH {FLAGS},
+streaks AS ({DECLINING_STREAK}),
+entries AS (
+  SELECT workstream_id, workstream_name, 'cost' AS risk_type, cost_risk_flag AS severity,
+         cast(cpi as double) AS "value" FROM flags
+  UNION ALL SELECT workstream_id, workstream_name, 'schedule', schedule_risk_flag,
+         cast(spi as double) FROM flags
+  UNION ALL SELECT workstream_id, workstream_name, 'completion', completion_risk_flag,
+         cast(pct_complete_variance as double) FROM flags
+  UNION ALL SELECT workstream_id, workstream_name, 'budget', budget_exposure_flag,
+         cast(projected_overrun as double) FROM flags
+  UNION ALL SELECT f.workstream_id, workstream_name, 'trend', 'WATCH',
+         cast(falling_weeks as double)
+  FROM flags f JOIN streaks s ON f.workstream_id = s.workstream_id WHERE alert)
+SELECT * FROM entries WHERE severity NOT IN ('ON_TRACK', 'UNDER_BUDGET')"""
+
+
 GAP = (
     "cast(round(cast(avg_pct_complete as decimal(18,1)) "
     "- cast(avg_pct_complete_planned as decimal(18,1)), 1) as double)"
@@ -270,17 +274,25 @@ RATES = {
     "low_birthweight_rate": ("low_birthweight_events", 100),
     "csection_rate": ("csection_events", 100),
 }
-POOLED = f"""
+
+
+def pooled(window: str) -> str:
+    """Counts and rates of every customer over the lines of its orders in a window."""
+    return f"""
 pooled AS (
-  SELECT o_custkey AS area_id, count(*) AS base,
+  SELECT c_custkey AS area_id, count(l_orderkey) AS base,
          {', '.join(f"count(CASE WHEN {test} THEN 1 END) AS {name}" for name, test in EVENTS.items())}
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE year(o_orderdate) BETWEEN 1996 AND 2000
+  FROM customer
+  LEFT JOIN (SELECT * FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE {window})
+    ON o_custkey = c_custkey
   GROUP BY 1),
 rates AS (
   SELECT *, {', '.join(f"{over(f'{k} * {e}', 'base')} AS {name}" for name, (e, k) in RATES.items())}
   FROM pooled)
 """
+
+
+POOLED = pooled("year(o_orderdate) BETWEEN 1996 AND 2000")
 DENSITY = f"""
 density AS (
   SELECT cast(n_nationkey as bigint) AS parent_id, n_name AS parent_name,
@@ -451,8 +463,7 @@ quality_measures AS (
          {over(f'sum({PRICE})', 'count(*)')} / 20000 AS cna_hours_per_resident,
          count(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 END)
            AS health_deficiency_count
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01'
-  GROUP BY 1, 2),
+  FROM lineitem GROUP BY 1, 2),
 facilities AS (
   SELECT s_suppkey AS cms_certification_number, s_name AS facility_name, n_name AS state,
          CASE WHEN s_acctbal < 0 THEN 'Government' ELSE 'Private' END AS ownership_type,
@@ -601,13 +612,13 @@ SOCIAL = [
 ]
 RISK_STRATIFICATION = f"""WITH members AS (
   SELECT c_custkey, c_mktsegment AS segment, c_acctbal AS income_proxy,
-         cast(count(*) as double) AS visit_count,
-         {over("count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END)", "count(*)")} * 100
+         cast(count(o_orderkey) as double) AS visit_count,
+         {over("count(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END)", "count(o_orderkey)")} * 100
            AS emergency_pct,
-         {over("count(CASE WHEN o_orderstatus = 'O' THEN 1 END)", "count(*)")} * 100
+         {over("count(CASE WHEN o_orderstatus = 'O' THEN 1 END)", "count(o_orderkey)")} * 100
            AS unresolved_pct,
-         sum(cast(o_totalprice as decimal(12,2))) AS cost
-  FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3),
+         coalesce(sum(cast(o_totalprice as decimal(12,2))), 0) AS cost
+  FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3),
 bounds AS (SELECT {bound_columns([c for c, *_ in SOCIAL])} FROM members),
 normalized AS (SELECT members.*, {zero_scores(SOCIAL)} FROM members CROSS JOIN bounds),
 composed AS (
@@ -677,7 +688,7 @@ SELECT record_id, status, cast(priority_code as bigint) AS priority_code, priori
        CASE WHEN reason IS NULL AND n > 1 THEN 'duplicate' ELSE reason END AS reject_reason
 FROM numbered"""
 
-AREA_ROLLUP = f"""WITH {POOLED},
+AREA_ROLLUP = f"""WITH {pooled('true')},
 placed AS (
   SELECT r_name AS state, n_name AS county, area_id AS zip_code, pooled.*
   FROM pooled JOIN customer ON area_id = c_custkey

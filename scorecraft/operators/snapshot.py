@@ -20,13 +20,16 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame
 
 
 def latest_overall(
-    df: DataFrame, period: str, newest: DataFrame | None = None
+    df: DataFrame, period: str, newest: DataFrame | bool | None = None
 ) -> DataFrame:
     """Rows at the newest period of the whole table.
 
     ``newest`` is a one-row, one-column frame with that period for callers that know a
     cheaper source of it.  It is evaluated as a scalar subquery, once per query.
+    False says that ``df`` holds that period only.
     """
+    if newest is False:
+        return df
     if newest is None:
         newest = df.agg(F.max(period))
     return df.where(F.col(period) == newest.scalar())

@@ -59,7 +59,7 @@ def scored_facilities(
     measures: DataFrame,
     facilities: DataFrame,
     spec: CompositeSpec = QUALITY,
-    newest: DataFrame | None = None,
+    newest: DataFrame | bool | None = None,
 ) -> DataFrame:
     """Facilities of the newest quarter with domain scores, composite and tier.
 
@@ -78,7 +78,7 @@ def quality_scores(
     measures: DataFrame,
     facilities: DataFrame,
     spec: CompositeSpec = QUALITY,
-    newest: DataFrame | None = None,
+    newest: DataFrame | bool | None = None,
 ) -> DataFrame:
     """Scored facilities with their rank over all and within their state."""
     scored = scored_facilities(measures, facilities, spec, newest)

@@ -150,8 +150,12 @@ def program_summary(
     )
 
 
-def flag_register(flags: DataFrame) -> DataFrame:
-    """One row per raised flag, with the value that raised it."""
+def flag_register(flags: DataFrame, streaks: DataFrame | None = None) -> DataFrame:
+    """One row per raised flag, with the value that raised it.
+
+    ``streaks``, rows of ``declining_streak``, add a trend flag to workstreams on alert,
+    with the number of falling weeks.
+    """
 
     def entry(risk: str, flag: str, value: str) -> Column:
         return F.struct(
@@ -166,9 +170,24 @@ def flag_register(flags: DataFrame) -> DataFrame:
         entry("completion", "completion_risk_flag", "pct_complete_variance"),
         entry("budget", "budget_exposure_flag", "projected_overrun"),
     )
-    return (
-        flags.select("workstream_id", "workstream_name", F.inline(entries))
-        .where(~F.col("severity").isin("ON_TRACK", "UNDER_BUDGET"))
+    raised = flags.select("workstream_id", "workstream_name", F.inline(entries)).where(
+        ~F.col("severity").isin("ON_TRACK", "UNDER_BUDGET")
+    )
+    if streaks is None:
+        return raised
+    falling = streaks.where("alert").select(
+        "workstream_id", F.col("falling_weeks").cast("double").alias("value")
+    )
+    return raised.unionByName(
+        flags.select("workstream_id", "workstream_name")
+        .join(falling, "workstream_id")
+        .select(
+            "workstream_id",
+            "workstream_name",
+            F.lit("trend").alias("risk_type"),
+            F.lit("WATCH").alias("severity"),
+            "value",
+        )
     )
 
 

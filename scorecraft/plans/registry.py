@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.functions.numeric import presentable, rounded
-from scorecraft.operators.joins import broadcast_if_counted
 from scorecraft.operators.rates import allocate_by_share, benchmark_excess, flag_small_base
 from scorecraft.operators.validation import reconcile
 from scorecraft.plans import facility_quality as quality
@@ -38,13 +37,13 @@ def _scored_areas(db: StarSchema) -> DataFrame:
 
 def _quality(db: StarSchema) -> DataFrame:
     return quality.quality_scores(
-        adapters.quality_measures(db), adapters.facilities(db), newest=adapters.latest_quarter(db)
+        adapters.quality_measures(db, newest=True), adapters.facilities(db), newest=False
     )
 
 
 def _scored_facilities(db: StarSchema) -> DataFrame:
     return quality.scored_facilities(
-        adapters.quality_measures(db), adapters.facilities(db), newest=adapters.latest_quarter(db)
+        adapters.quality_measures(db, newest=True), adapters.facilities(db), newest=False
     )
 
 
@@ -70,7 +69,6 @@ def proportional_allocation(db: StarSchema) -> DataFrame:
     parents = children.groupBy("parent_id").agg(
         F.sum("base").alias("parent_base"), F.sum("mortality_events").alias("parent_value")
     )
-    parents = broadcast_if_counted(parents, adapters.parent_areas(db))
     return allocate_by_share(children, parents, "parent_id", "base", "parent_value")
 
 
@@ -107,7 +105,7 @@ def area_rollup(db: StarSchema) -> DataFrame:
         F.col("n_name").alias("county"),
     )
     placed = (
-        adapters.pooled_area_rates(db)
+        adapters.pooled_area_rates(db, years=None)
         .join(adapters.areas(db).select("area_id", "parent_id"), "area_id")
         .join(counties, "parent_id")
         .withColumnRenamed("area_id", "zip_code")
@@ -138,7 +136,9 @@ REPORTS: dict[str, Callable[[StarSchema], DataFrame]] = {
     "region_contrast": lambda db: vulnerability.region_contrast(
         adapters.five_year_aggregate(db), BASELINE_REGION
     ),
-    "flag_register": lambda db: perf.flag_register(_flags(db)),
+    "flag_register": lambda db: perf.flag_register(
+        _flags(db), perf.declining_streak(_metrics(db))
+    ),
     "workstream_status": lambda db: perf.workstream_status(_flags(db)),
     "declining_streak": lambda db: perf.declining_streak(_metrics(db)),
     "program_scorecard": lambda db: perf.program_scorecard(perf.program_summary(_metrics(db))),

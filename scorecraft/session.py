@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -39,16 +37,12 @@ def build_session(
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable without overriding the cluster's folder.
 
-    ``spark.checkpoint.dir`` wins.  Only a local-mode session, where driver and
-    executors are one process, gets a temporary folder of its own.
+    ``spark.checkpoint.dir`` wins, else a folder in the session's own storage, the
+    warehouse, which driver and executors share.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="scorecraft-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    context.setCheckpointDir(configured or f"{warehouse.rstrip('/')}/checkpoints")

@@ -26,7 +26,6 @@ from scorecraft.operators.rates import Rate, pooled_rates, provider_density
 from scorecraft.sources.tables import StarSchema
 
 FIRST_YEAR, LAST_YEAR = 1996, 2000
-FIRST_QUARTER_DAY = "2000-01-01"
 
 # events counted per order line, and the factor each is reported by
 AREA_RATES = (
@@ -122,9 +121,13 @@ def workstream_dependency(db: StarSchema) -> DataFrame:
 # ---- area vulnerability ----
 
 
-def area_year_counts(db: StarSchema) -> DataFrame:
+def area_year_counts(
+    db: StarSchema, years: tuple[int, int] | None = (FIRST_YEAR, LAST_YEAR)
+) -> DataFrame:
     """Events and their base (order lines) per order, with its area and year.
 
+    Only orders of ``years`` are read; None reads all.
+
     Rows are finer than area by year, which pooled rates do not mind: they sum.
     Reducing lines to orders first lets the join reuse the aggregate's partitioning.
     """
@@ -152,12 +155,13 @@ def area_year_counts(db: StarSchema) -> DataFrame:
         F.col("o_custkey").alias("area_id"),
         F.col("o_orderdate").alias("event_date"),
     )
-    in_window = (F.col("event_date") >= F.lit(f"{FIRST_YEAR}-01-01").cast("timestamp_ntz")) & (
-        F.col("event_date") < F.lit(f"{LAST_YEAR + 1}-01-01").cast("timestamp_ntz")
-    )
+    if years:
+        orders = orders.where(
+            (F.col("event_date") >= F.lit(f"{years[0]}-01-01").cast("timestamp_ntz"))
+            & (F.col("event_date") < F.lit(f"{years[1] + 1}-01-01").cast("timestamp_ntz"))
+        )
     return (
-        orders.where(in_window)
-        .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
+        orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
         .select(
             "area_id",
             F.year("event_date").alias("year"),
@@ -167,10 +171,14 @@ def area_year_counts(db: StarSchema) -> DataFrame:
     )
 
 
-def pooled_area_rates(db: StarSchema) -> DataFrame:
-    return pooled_rates(
-        area_year_counts(db), ["area_id"], AREA_RATES, years=(FIRST_YEAR, LAST_YEAR)
-    )
+def pooled_area_rates(
+    db: StarSchema, years: tuple[int, int] | None = (FIRST_YEAR, LAST_YEAR)
+) -> DataFrame:
+    """Pooled rates of every area; one without events has base 0 and NULL rates."""
+    pooled = pooled_rates(area_year_counts(db, years), ["area_id"], AREA_RATES, years=years)
+    every = db.table("customer").select(F.col("c_custkey").alias("area_id"))
+    counts = ["base", *[rate.events for rate in AREA_RATES]]
+    return every.join(pooled, "area_id", "left").na.fill(0, counts)
 
 
 def providers(db: StarSchema) -> DataFrame:
@@ -255,17 +263,24 @@ def _quarter_label(day: Column) -> Column:
     return F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string"))
 
 
-def _quarter_lines(db: StarSchema) -> DataFrame:
-    """Lines of the reporting quarters; the date test reaches the Parquet scan."""
-    return (
-        db.table("lineitem")
-        .where(F.col("l_shipdate") >= F.lit(FIRST_QUARTER_DAY).cast("timestamp_ntz"))
-        .withColumn("quarter_day", F.trunc(F.to_date("l_shipdate"), "quarter"))
-    )
+def _quarter_lines(db: StarSchema, newest: bool) -> DataFrame:
+    """Order lines with their quarter.
+
+    With ``newest``, those of the newest quarter: the line date itself is compared with
+    the first day of it, so the test reaches the Parquet scan.
+    """
+    lines = db.table("lineitem")
+    if newest:
+        last = lines.agg(F.date_trunc("quarter", F.max("l_shipdate")).cast("timestamp_ntz"))
+        lines = lines.where(F.col("l_shipdate") >= last.scalar())
+    return lines.withColumn("quarter_day", F.trunc(F.to_date("l_shipdate"), "quarter"))
 
 
-def quality_measures(db: StarSchema) -> DataFrame:
-    """Facility by quarter: percentages of lines, mean hours and a deficiency count."""
+def quality_measures(db: StarSchema, newest: bool = False) -> DataFrame:
+    """Facility by quarter: percentages of lines, mean hours and a deficiency count.
+
+    All quarters, or with ``newest`` the newest one only.
+    """
     lines = F.count(F.lit(1))
 
     def pct(condition: Column, name: str) -> Column:
@@ -275,7 +290,7 @@ def quality_measures(db: StarSchema) -> DataFrame:
         return ratio(exact_sum(hundredths(F.col(name)), CENT), lines)
 
     return (
-        _quarter_lines(db)
+        _quarter_lines(db, newest)
         .groupBy(F.col("l_suppkey").alias("cms_certification_number"), "quarter_day")
         .agg(
             pct(F.col("l_returnflag") == "R", "readmission_rate_30d"),
@@ -294,17 +309,6 @@ def quality_measures(db: StarSchema) -> DataFrame:
     )
 
 
-def latest_quarter(db: StarSchema) -> DataFrame:
-    """The newest ``report_quarter`` in one row.
-
-    Every line of a quarter yields a measure row, so the newest line date answers
-    without building the measures.
-    """
-    return _quarter_lines(db).agg(
-        _quarter_label(F.max("quarter_day")).alias("report_quarter")
-    )
-
-
 # ---- claims, sources and raw records ----
 
 
@@ -385,10 +389,14 @@ def members(db: StarSchema) -> DataFrame:
         F.col("c_mktsegment").alias("segment"),
         F.col("c_acctbal").alias("income_proxy"),
     )
-    return people.join(per_customer, "member_id").select(
+    # a member without orders has no visits and no cost; shares of visits stay NULL
+    every = people.join(per_customer, "member_id", "left").na.fill(
+        0, ["visits", "urgent", "unresolved"]
+    )
+    return every.select(
         "member_id",
         "segment",
-        "cost",
+        F.when(F.col("visits") == 0, F.lit(0)).otherwise(F.col("cost")).alias("cost"),
         (ratio(F.col("urgent"), F.col("visits")) * 100).alias("emergency_pct"),
         (ratio(F.col("unresolved"), F.col("visits")) * 100).alias("unresolved_pct"),
         F.col("visits").cast("double").alias("visit_count"),

@@ -6,6 +6,7 @@ import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from scorecraft.plans import performance as perf
 
@@ -216,3 +217,13 @@ def test_program_scorecard(metrics):
         "total_projected_overrun": (-372.98, "UNDER_BUDGET"),
         "overrun_pct_of_budget": (-13.3, "UNDER_BUDGET"),
     }
+
+
+def test_trend_alert_enters_the_register(spark, metrics):
+    flags = perf.risk_flags(metrics)
+    some = flags.select("workstream_id").first()[0]
+    streaks = flags.select("workstream_id").withColumns(
+        {"falling_weeks": F.lit(4), "alert": F.col("workstream_id") == F.lit(some)}
+    )
+    trend = perf.flag_register(flags, streaks).where("risk_type = 'trend'").collect()
+    assert [(r.workstream_id, r.severity, r.value) for r in trend] == [(some, "WATCH", 4.0)]
