@@ -172,12 +172,13 @@ def severity(level_sql: str) -> str:
 
 WORKSTREAM_STATUS = f"""WITH {FLAGS},
 levels AS (
-  SELECT workstream_id, workstream_name, report_week,
+  SELECT workstream_id, workstream_name, report_week, cpi, spi,
          {level('cost_risk_flag')} AS a, {level('schedule_risk_flag')} AS b,
          {level('completion_risk_flag')} AS c, {level('budget_exposure_flag')} AS d
   FROM flags)
 SELECT workstream_id, workstream_name, report_week,
-       {severity('greatest(a, b, c, d)')} AS status,
+       CASE WHEN greatest(a, b, c, d) = 0 AND cpi IS NULL AND spi IS NULL THEN 'NOT_STARTED'
+            ELSE {severity('greatest(a, b, c, d)')} END AS status,
        cast((CASE WHEN a > 0 THEN 1 ELSE 0 END) + (CASE WHEN b > 0 THEN 1 ELSE 0 END)
           + (CASE WHEN c > 0 THEN 1 ELSE 0 END) + (CASE WHEN d > 0 THEN 1 ELSE 0 END)
           as bigint) AS raised_flags
@@ -388,7 +389,8 @@ SELECT area_id, parent_id, base, mortality_events, cast(parent_base as bigint) A
 FROM children JOIN parents ON parent_id = pid"""
 
 PROVIDER_DENSITY = f"""WITH {DENSITY}
-SELECT parent_id, parent_name, providers, inhabitants, {fixed('density', 4)} AS density
+SELECT parent_id, parent_name, providers, inhabitants, {fixed('density', 4)} AS density,
+       density < 2.0 AS low_access
 FROM density"""
 
 DISPARITY_GAP = f"""WITH {SCORED}
@@ -411,6 +413,16 @@ SELECT area_id, base,
        {', '.join(f"{fixed(f'({over(name, f"all_{name}")} - 1) * 100', 2)} AS {name}_excess_pct" for name in RATES)}
 FROM rates CROSS JOIN cohort"""
 
+PARENT_EXCESS = f"""WITH {POOLED},
+states AS (
+  SELECT c_nationkey AS state,
+         {', '.join(f"{over(f'{k} * sum({e})', 'sum(base)')} AS all_{name}" for name, (e, k) in RATES.items())}
+  FROM pooled JOIN customer ON c_custkey = area_id GROUP BY 1)
+SELECT area_id, cast(c_nationkey as bigint) AS parent_id, base,
+       {', '.join(f"{fixed(f'({over(name, f"all_{name}")} - 1) * 100', 2)} AS {name}_excess_pct" for name in RATES)}
+FROM rates JOIN customer ON c_custkey = area_id
+JOIN states ON state IS NOT DISTINCT FROM c_nationkey"""
+
 POINTS = {s: f"({s} * {w} * 10)" for _, s, w, _ in INDEX}
 MOST = f"greatest({', '.join(POINTS.values())})"
 DRIVERS = ", ".join(f"CASE WHEN {p} = most THEN '{s}' END" for s, p in POINTS.items())
@@ -716,6 +728,7 @@ SQL = {
     "provider_density": PROVIDER_DENSITY,
     "disparity_gap": DISPARITY_GAP,
     "benchmark_excess": BENCHMARK_EXCESS,
+    "parent_excess": PARENT_EXCESS,
     "primary_driver": PRIMARY_DRIVER,
     "small_base_flag": SMALL_BASE_FLAG,
     "region_contrast": REGION_CONTRAST,

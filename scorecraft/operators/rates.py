@@ -68,34 +68,54 @@ def allocate_by_share(
 
 
 def provider_density(
-    areas: DataFrame, providers: DataFrame, population: DataFrame, key: str, per: int = 10000
+    areas: DataFrame,
+    providers: DataFrame,
+    population: DataFrame,
+    key: str,
+    per: int = 10000,
+    threshold: float | None = None,
 ) -> DataFrame:
-    """Providers per ``per`` inhabitants; 0 without providers, NULL without inhabitants."""
-    return (
+    """Providers per ``per`` inhabitants; 0 without providers, NULL without inhabitants.
+
+    With a ``threshold``, ``low_access`` tells whether the density lies below it.
+    """
+    found = (
         areas.join(population.select(key, F.col("n").alias("inhabitants")), key, "left")
         .join(providers.select(key, F.col("n").alias("provider_rows")), key, "left")
         .withColumn("providers", F.coalesce("provider_rows", F.lit(0)))
         .withColumn("density", ratio(per * F.col("providers"), F.col("inhabitants")))
         .drop("provider_rows")
     )
+    if threshold is None:
+        return found
+    return found.withColumn("low_access", F.col("density") < threshold)
 
 
 def benchmark_excess(
-    pooled: DataFrame, rates: Sequence[Rate], base: str = "base", suffix: str = "_excess_pct"
+    pooled: DataFrame,
+    rates: Sequence[Rate],
+    base: str = "base",
+    suffix: str = "_excess_pct",
+    parent: str | None = None,
 ) -> DataFrame:
-    """Percent by which each rate exceeds the rate of the whole cohort.
+    """Percent by which each rate exceeds the rate of the whole cohort, or of the ``parent``.
 
-    The cohort rate is again a ratio of sums, one scalar subquery for all metrics.
+    The cohort rate is again a ratio of sums, one scalar subquery for all metrics.  Parents'
+    rates are grouped and joined back, so a parent with a third of the areas is combined
+    map-side; areas without a parent are compared with each other.
     """
-    cohort = pooled.agg(
-        F.struct(
-            *[
-                ratio(rate.factor * F.sum(rate.events), F.sum(base)).alias(rate.name)
-                for rate in rates
-            ]
-        )
-    ).scalar()
-    return pooled.withColumn("cohort", cohort).select(
+    benchmark = F.struct(
+        *[
+            ratio(rate.factor * F.sum(rate.events), F.sum(base)).alias(rate.name)
+            for rate in rates
+        ]
+    ).alias("cohort")
+    if parent:
+        cohorts = pooled.groupBy(F.col(parent).alias("cohort_parent")).agg(benchmark)
+        compared = pooled.join(cohorts, F.col(parent).eqNullSafe(F.col("cohort_parent")))
+    else:
+        compared = pooled.withColumn("cohort", pooled.agg(benchmark).scalar())
+    return compared.select(
         *pooled.columns,
         *[
             rounded(

@@ -191,15 +191,23 @@ def flag_register(flags: DataFrame, streaks: DataFrame | None = None) -> DataFra
     )
 
 
-def workstream_status(flags: DataFrame) -> DataFrame:
-    """The worst severity of each workstream and the number of raised flags."""
+def workstream_status(flags: DataFrame, not_started: str | None = None) -> DataFrame:
+    """The worst severity of each workstream and the number of raised flags.
+
+    A workstream without planned value and without cost at its newest week, so without
+    either index, has the status ``not_started``, if given, unless a flag is raised.
+    """
     levels = [severity_level(F.col(flag)) for flag in FLAGS]
     raised = sum((level > 0).cast("int") for level in levels)
+    status = severity_name(F.greatest(*levels))
+    if not_started:
+        idle = F.col("cpi").isNull() & F.col("spi").isNull() & (F.greatest(*levels) == 0)
+        status = F.when(idle, F.lit(not_started)).otherwise(status)
     return flags.select(
         "workstream_id",
         "workstream_name",
         "report_week",
-        severity_name(F.greatest(*levels)).alias("status"),
+        status.alias("status"),
         raised.alias("raised_flags"),
     )
 

@@ -19,6 +19,8 @@ from scorecraft.sources.tables import StarSchema
 
 SMALL_BASE = 30
 BASELINE_REGION = "MACHINERY"
+# fixed value: providers per 10 000 inhabitants below which access is low
+ACCESS_THRESHOLD = 2.0
 RATE_NAMES = [rate.name for rate in AREA_RATES]
 EVENT_NAMES = [rate.events for rate in AREA_RATES]
 
@@ -73,7 +75,8 @@ def proportional_allocation(db: StarSchema) -> DataFrame:
 
 
 def provider_density(db: StarSchema) -> DataFrame:
-    return adapters.area_density(db).withColumn("density", rounded(F.col("density"), 4))
+    density = adapters.area_density(db, threshold=ACCESS_THRESHOLD)
+    return density.withColumn("density", rounded(F.col("density"), 4))
 
 
 def small_base_flag(db: StarSchema) -> DataFrame:
@@ -87,6 +90,16 @@ def cohort_excess(db: StarSchema) -> DataFrame:
     return excess.select("area_id", "base", *[f"{name}_excess_pct" for name in RATE_NAMES])
 
 
+def parent_excess(db: StarSchema) -> DataFrame:
+    placed = adapters.pooled_area_rates(db).join(
+        adapters.areas(db).select("area_id", "parent_id"), "area_id"
+    )
+    excess = benchmark_excess(placed, AREA_RATES, parent="parent_id")
+    return excess.select(
+        "area_id", "parent_id", "base", *[f"{name}_excess_pct" for name in RATE_NAMES]
+    )
+
+
 def source_reconciliation(db: StarSchema) -> DataFrame:
     return reconcile(
         adapters.order_totals(db),
@@ -131,6 +144,7 @@ REPORTS: dict[str, Callable[[StarSchema], DataFrame]] = {
     "provider_density": provider_density,
     "disparity_gap": lambda db: vulnerability.disparity_gap(_scored_areas(db), "parent_id"),
     "benchmark_excess": cohort_excess,
+    "parent_excess": parent_excess,
     "primary_driver": lambda db: vulnerability.primary_driver(_scored_areas(db)),
     "small_base_flag": small_base_flag,
     "region_contrast": lambda db: vulnerability.region_contrast(
@@ -139,7 +153,7 @@ REPORTS: dict[str, Callable[[StarSchema], DataFrame]] = {
     "flag_register": lambda db: perf.flag_register(
         _flags(db), perf.declining_streak(_metrics(db))
     ),
-    "workstream_status": lambda db: perf.workstream_status(_flags(db)),
+    "workstream_status": lambda db: perf.workstream_status(_flags(db), "NOT_STARTED"),
     "declining_streak": lambda db: perf.declining_streak(_metrics(db)),
     "program_scorecard": lambda db: perf.program_scorecard(perf.program_summary(_metrics(db))),
     "delay_cascade": lambda db: perf.delay_cascade(

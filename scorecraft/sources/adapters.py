@@ -203,8 +203,10 @@ def parent_areas(db: StarSchema) -> DataFrame:
     )
 
 
-def area_density(db: StarSchema) -> DataFrame:
-    return provider_density(parent_areas(db), providers(db), population(db), "parent_id")
+def area_density(db: StarSchema, threshold: float | None = None) -> DataFrame:
+    return provider_density(
+        parent_areas(db), providers(db), population(db), "parent_id", threshold=threshold
+    )
 
 
 def areas(db: StarSchema) -> DataFrame:

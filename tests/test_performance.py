@@ -181,6 +181,13 @@ def test_flag_register_and_status(metrics):
     assert status == {"A": "CRITICAL", "B": "ON_TRACK", "C": "CRITICAL", "D": "CRITICAL"}
 
 
+def test_workstream_that_has_not_started(spark):
+    values = [("A", 1, 0, 0, 0, 0, 0, 9), ("B", 1, 1, 1, 1, 1, 1, 9), ("C", 1, 0, 0, 0, 0, 30, 9)]
+    flags = perf.risk_flags(perf.earned_value(weekly(spark, values), names(spark, "ABC")))
+    status = dict(rows(perf.workstream_status(flags, "NOT_STARTED"), "workstream_id", "status"))
+    assert status == {"A": "NOT_STARTED", "B": "ON_TRACK", "C": "CRITICAL"}
+
+
 def test_declining_streak(spark):
     def series(ws, indexes):
         return [(ws, i + 1, 100, v, 0 if v is None else 100, 1, 1, 9)

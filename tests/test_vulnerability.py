@@ -153,6 +153,18 @@ def test_benchmark_excess(spark):
     assert got == {"a": 200.0, "b": -66.67, "c": None}  # cohort rate is 10
 
 
+def test_excess_over_the_parent(spark):
+    pooled = pooled_rates(
+        spark.createDataFrame(
+            [("a", "p", 100, 30), ("b", "p", 300, 10), ("c", "q", 50, 5), ("d", "q", 50, 15),
+             ("e", None, 10, 1), ("f", "r", 0, 0)],
+            "area string, parent string, base bigint, events bigint"),
+        ["area", "parent"], RATES)
+    got = {r.area: num(r.rate_excess_pct)
+           for r in benchmark_excess(pooled, RATES, parent="parent").collect()}
+    assert got == {"a": 200.0, "b": -66.67, "c": -50.0, "d": 50.0, "e": 0.0, "f": None}
+
+
 def test_small_base(spark):
     df = spark.createDataFrame([("a", 29), ("b", 30), ("c", None)], "area string, base int")
     got = {r.area: r.small_base for r in flag_small_base(df, 30).collect()}
@@ -179,3 +191,5 @@ def test_density_without_providers_is_zero(spark):
     got = {r.area: (r.providers, r.density) for r in
            provider_density(areas, providers, population, "area").collect()}
     assert got == {"a": (3, 2.0), "b": (0, 0.0), "c": (0, None)}
+    low = provider_density(areas, providers, population, "area", threshold=2.0)
+    assert {r.area: r.low_access for r in low.collect()} == {"a": False, "b": True, "c": None}
