@@ -64,6 +64,7 @@ READS = {  # report: table, times it may be read
     "quality_scores": [("lineitem", 2)],  # measures, and one column for the newest quarter
     "proportional_allocation": [("lineitem", 1), ("orders", 1)],
     "benchmark_excess": [("lineitem", 1), ("orders", 1)],
+    "parent_excess": [("lineitem", 1), ("orders", 1)],
     "disparity_gap": [("lineitem", 1), ("orders", 1)],
     "region_contrast": [("lineitem", 1), ("orders", 1)],
     "risk_stratification": [("orders", 1)],
