@@ -31,13 +31,41 @@ from scorecraft.llm import text as tx
 from scorecraft.llm.store import shared_folder, table
 from scorecraft.llm.tokens import Encoder
 
-MAGIC, BLOCK, PERCENTILE, SEGMENT_IDS = b"PFR1", 128, 90, 1 << 16
+MAGIC, BLOCK, PERCENTILE, SEGMENT_IDS = b"PFR1", 128, 90, 1 << 18
 SCHEMA = "shard int, segment int, first_id long, n_ids long, payload binary"
 
 
 def _widths(offsets: np.ndarray) -> np.ndarray:
     """Bits that each number takes; exact, as they are far below 2**53."""
-    return np.frexp(offsets.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(offsets.astype(np.float64))[1].astype(np.uint8)
+
+
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``BLOCK`` numbers below ``2**width`` as rows of bytes; eight take ``width``."""
+    eights = values.reshape(-1, 8)
+    words = np.zeros((len(eights), -(-width // 8)), "<u8")
+    for k in range(8):
+        word, shift = divmod(k * width, 64)
+        words[:, word] |= eights[:, k] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, word + 1] |= eights[:, k] >> np.uint64(64 - shift)
+    return words.view(np.uint8)[:, :width].reshape(len(values), -1)
+
+
+def _unpack(rows: np.ndarray, width: int) -> np.ndarray:
+    eights = rows.reshape(-1, width)
+    raw = np.zeros((len(eights), -(-width // 8) * 8), np.uint8)
+    raw[:, :width] = eights
+    words = raw.view("<u8")
+    out = np.empty((len(eights), 8), np.uint64)
+    mask = np.uint64((1 << width) - 1)
+    for k in range(8):
+        word, shift = divmod(k * width, 64)
+        value = words[:, word] >> np.uint64(shift)
+        if shift + width > 64:
+            value |= words[:, word + 1] << np.uint64(64 - shift)
+        out[:, k] = value & mask
+    return out.reshape(len(rows), BLOCK)
 
 
 def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.ndarray, bytes]:
@@ -54,33 +82,27 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.nda
     rank = -(-BLOCK * percentile // 100) - 1
     width = np.sort(bits, 1)[:, rank]
     patched = bits > width[:, None]
-    low = offsets & ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1))[:, None]
-    packed: list[bytes] = [b""] * n_blocks
-    for w in np.unique(width).tolist():
-        at = np.flatnonzero(width == w)
-        if not w:
-            continue
-        four = low[at].astype("<u4").view(np.uint8).reshape(len(at), BLOCK, 4)
-        flags = np.unpackbits(four, axis=2, bitorder="little")[:, :, :w]
-        rows = np.packbits(flags.reshape(len(at), BLOCK * w), axis=1, bitorder="little")
-        for k, row in zip(at.tolist(), rows, strict=True):
-            packed[k] = row.tobytes()
     count = patched.sum(1)
-    block_of, position = np.nonzero(patched)
-    high = (offsets[patched] >> width[block_of].astype(np.uint64)).astype("<u4")
-    position = position.astype(np.uint8)
-    stop = np.cumsum(count)
-    parts = []
-    for k in range(n_blocks):
-        a, b = int(stop[k] - count[k]), int(stop[k])
-        parts.append(
-            struct.pack("<IBB", int(least[k]), int(width[k]), b - a)
-            + packed[k]
-            + position[a:b].tobytes()
-            + high[a:b].tobytes()
-        )
-    sizes = np.array([len(p) for p in parts])
-    return (np.cumsum(sizes) - sizes).astype("<u4"), b"".join(parts)
+    wide = width.astype(np.int64)
+    sizes = 6 + BLOCK // 8 * wide + 5 * count
+    index = np.cumsum(sizes) - sizes
+    area = np.zeros(int(sizes.sum()), np.uint8)
+    area[index[:, None] + np.arange(4)] = least.astype("<u4").view(np.uint8).reshape(-1, 4)
+    area[index + 4] = width
+    area[index + 5] = count
+    low = offsets & ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1))[:, None]
+    for w in np.unique(wide).tolist():
+        if w:
+            at = np.flatnonzero(wide == w)
+            area[index[at, None] + 6 + np.arange(BLOCK // 8 * w)] = _pack(low[at], w)
+    block, position = np.nonzero(patched)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    lists = index + 6 + BLOCK // 8 * wide
+    high = (offsets[patched] >> width[block].astype(np.uint64)).astype("<u4")
+    area[lists[block] + nth] = position
+    into = (lists + count)[block][:, None] + 4 * nth[:, None] + np.arange(4)
+    area[into] = high.view(np.uint8).reshape(-1, 4)
+    return index.astype("<u4"), area.tobytes()
 
 
 def decode_blocks(area: bytes, index: np.ndarray, n_ids: int) -> np.ndarray:
@@ -93,17 +115,12 @@ def decode_blocks(area: bytes, index: np.ndarray, n_ids: int) -> np.ndarray:
     width, count = head[:, 4].astype(np.int64), head[:, 5].astype(np.int64)
     out = np.zeros((n_blocks, BLOCK), np.uint64)
     for w in np.unique(width).tolist():
-        some = np.flatnonzero(width == w)
         if w:
-            body = raw[at[some, None] + 6 + np.arange(BLOCK * w // 8)]
-            flags = np.unpackbits(body, axis=1, bitorder="little").reshape(len(some), BLOCK, w)
-            full = np.zeros((len(some), BLOCK, 32), np.uint8)
-            full[:, :, :w] = flags
-            four = np.packbits(full, axis=2, bitorder="little")
-            out[some] = four.view("<u4")[:, :, 0]
+            some = np.flatnonzero(width == w)
+            out[some] = _unpack(raw[at[some, None] + 6 + np.arange(BLOCK // 8 * w)], w)
     block = np.repeat(np.arange(n_blocks), count)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
-    lists = at + 6 + BLOCK * width // 8
+    lists = at + 6 + BLOCK // 8 * width
     position = raw[lists[block] + nth]
     high = raw[(lists + count)[block][:, None] + 4 * nth[:, None] + np.arange(4)]
     high = np.ascontiguousarray(high).view("<u4")[:, 0].astype(np.uint64)

@@ -51,21 +51,18 @@ def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Start positions of the pieces of a slice of texts; every text starts one."""
     cut = np.zeros(len(data) + 1, bool)
     cut[bounds] = True
-    if len(data) > 1:
-        follows = np.zeros(len(data), bool)
-        follows[:-1] = _VISIBLE[data[1:]]
-        cut[:-1] |= (data == 0x20) & follows
-        cut[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
-    if len(data) > 2:
-        line = np.zeros(len(data), bool)
-        line[1:-1] = (data[1:-1] == 0x0A) & _GRAPHIC[data[:-2]] & _VISIBLE[data[2:]]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[bounds] = True
-        # a break at the end of a text has no character after it in that text
-        line &= ~edge[1:] & ~edge[:-1]
-        at = np.flatnonzero(line)
-        cut[at] = True
-        cut[at + 1] = True
+    edge = cut.copy()
+    blank = np.flatnonzero(data[:-1] == 0x20)
+    cut[blank[_VISIBLE[data[blank + 1]]]] = True
+    mark = np.flatnonzero(_MARK[data[1:]]) + 1
+    cut[mark[_LETTER[data[mark - 1]]]] = True
+    line = np.flatnonzero(data[1:-1] == 0x0A) + 1
+    # a break at the end of a text has no character after it in that text
+    line = line[
+        _GRAPHIC[data[line - 1]] & _VISIBLE[data[line + 1]] & ~edge[line] & ~edge[line + 1]
+    ]
+    cut[line] = True
+    cut[line + 1] = True
     return np.flatnonzero(cut[:-1])
 
 
@@ -132,11 +129,12 @@ class Encoder:
         size = np.concatenate(sizes)
         begin = np.cumsum(size) - size + len(self.pool)
         self.pool = np.concatenate([self.pool, *ids])
-        both = np.concatenate([self.keys, keys[order]])
-        place = np.argsort(both, kind="stable")
-        self.keys = both[place]
-        self.begin = np.concatenate([self.begin, begin])[place]
-        self.size = np.concatenate([self.size, size])[place]
+        new = np.argsort(keys[order])
+        fresh = keys[order][new]
+        at = np.searchsorted(self.keys, fresh)
+        self.keys = np.insert(self.keys, at, fresh)
+        self.begin = np.insert(self.begin, at, begin[new])
+        self.size = np.insert(self.size, at, size[new])
 
     def ids(self, array: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts and the ``n + 1`` boundaries of texts in them.
@@ -144,34 +142,33 @@ class Encoder:
         ``end`` is appended to every text.  Null texts count as empty.
         """
         data, bounds = tx.flat(array)
-        n = len(bounds) - 1
         starts = cuts(data, bounds)
         stops = np.append(starts[1:], len(data))
-        owner = tx.document_of(starts, bounds)
         keys = tx.SpanHash(data)(starts, stops)
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        coded = pa.array(keys).dictionary_encode()
+        distinct, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         missing = np.ones(len(distinct), bool)
         if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-            missing = self.keys[at] != distinct
+            where = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+            missing = self.keys[where] != distinct
         if missing.sum() + len(self.keys) > KEPT_PIECES:
             self._forget()
             missing[:] = True
         if missing.any():
-            at = first[missing]
+            some = np.zeros(len(distinct), np.int64)
+            some[inverse] = np.arange(len(keys))  # any one place of each piece
+            at = some[missing]
             self._learn(distinct[missing], *self._cut_out(data, starts[at], stops[at]))
-        where = np.searchsorted(self.keys, distinct)
-        size = self.size[where][inverse]
-        n_ids = np.bincount(owner, weights=size, minlength=n).astype(np.int64)
-        total = int(size.sum())
-        into = np.cumsum(size) - size
-        source = np.repeat(self.begin[where][inverse] - into, size)
-        source += np.arange(total)
+            where = np.searchsorted(self.keys, distinct)
+        size = self.size[where][inverse] if len(keys) else np.zeros(0, np.int64)
+        pieces = np.concatenate([[0], np.cumsum(size)])
+        edges = pieces[np.searchsorted(starts, bounds)]
+        source = np.repeat(self.begin[where][inverse] - pieces[:-1], size) if len(keys) else size
+        source = source + np.arange(len(source))
         ids = self.pool[source]
-        edges = np.concatenate([[0], np.cumsum(n_ids)])
         if end is None:
             return ids, edges
-        return np.insert(ids, edges[1:], np.uint32(end)), edges + np.arange(n + 1)
+        return np.insert(ids, edges[1:], np.uint32(end)), edges + np.arange(len(edges))
 
     @staticmethod
     def _cut_out(data, starts, stops) -> tuple[list[bytes], np.ndarray]:
