@@ -176,7 +176,7 @@ def features(documents: DataFrame, rule: Rule) -> DataFrame:
                     token = (hashes >> np.uint64(32)).astype(np.int64)
                     at = np.minimum(np.searchsorted(common, token), len(common) - 1)
                     rank = np.where(common[at] == token, counts[at], 0)
-                order = np.lexsort((hashes, rank, owner))
+                order = np.lexsort((rank, owner))  # stable: hashes ascend in a document
                 length = np.where(n > 0, n - rule.needed(n) + 1, 0)
                 nth = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
                 first = hashes[order][nth < np.repeat(length, n)].view(np.int64)

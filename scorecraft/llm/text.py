@@ -127,8 +127,15 @@ def shingles(hashes: np.ndarray, documents: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def groups(keys: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (document, key), and the positions in it where a new pair begins."""
-    order = np.lexsort((keys, documents))
+    """Order by (document, key), and the positions in it where a new pair begins.
+
+    Equal pairs come in any order.
+    """
+    order = np.argsort(keys)
+    # a stable sort of 16-bit numbers is a radix sort
+    few = len(documents) and documents.max() < 1 << 16
+    owner = documents.astype(np.uint16) if few else documents
+    order = order[np.argsort(owner[order], kind="stable")]
     k, d = keys[order], documents[order]
     new = np.ones(len(order), bool)
     new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
@@ -142,7 +149,8 @@ def repeated(keys: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.nd
     often = np.zeros(len(order), bool)
     often[order] = np.repeat(counts > 1, counts)
     later = np.ones(len(order), bool)
-    later[order[first]] = False  # lexsort is stable, so the first of a group is the earliest
+    if len(order):
+        later[np.minimum.reduceat(order, first)] = False
     return often, later
 
 
