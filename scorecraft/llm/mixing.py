@@ -78,8 +78,9 @@ def mix(
     documents: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST_REPEATS,
+    key: str | None = None,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row.
+    """``doc_id, size, source_size, target, taken`` of every row, after its ``key`` if named.
 
     ``size`` counts the words of the text (null and empty: 0) and ``taken`` the words that
     the mix takes, repeats included: 0 to ``most`` times the size.  A null source is a source
@@ -87,9 +88,11 @@ def mix(
     swap places, which changes no result.  Other columns are not read.  An empty table gives
     an empty result.
     """
+    own = [key] if key else []
     number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10)
     sized = stored(
         documents.select(
+            *own,
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -105,6 +108,7 @@ def mix(
     bits = _bits(totals["rows"])
     # without a broadcast hint: Spark decides by the size of the table of sources
     keyed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select(
+        *own,
         "doc_id",
         "size",
         "h",
@@ -193,29 +197,32 @@ def mix(
             )
             chosen = chosen | ((slot(t) == last_slot) & (entry(t) <= literal))
         taken = taken + F.when(chosen & (F.col("size") > 0), F.col("size")).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select(*own, "doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def repeat_taken(documents: DataFrame) -> DataFrame:
     """The rows of ``documents``, each as often as the mix takes it.
 
-    Rows with the same id are told apart by source and size; where such twins are taken
-    unequally often, the copies are dealt among them in any order, with the same sum.
+    Rows are numbered and written before the mix, so those with one id, or a null one, are
+    each repeated by their own count.
     """
+    key = "row"
+    while key in map(str.lower, documents.columns):
+        key += "_"
+    rows = stored(documents.withColumn(key, F.monotonically_increasing_id()))
     times = (
-        mix(documents)
+        mix(rows, key=key)
         .where("taken > 0")
-        .groupBy("doc_id")
-        .agg(F.sum(F.expr("taken div size")).alias("copies"), F.count(F.lit(1)).alias("twins"))
+        .select(F.col(key).alias("taken_row"), F.expr("taken div size").cast("int").alias("copies"))
     )
     columns = documents.columns
     return (
-        documents.join(times, documents["doc_id"].eqNullSafe(times["doc_id"]))
+        rows.join(times, rows[key] == times["taken_row"])
         .select(
-            *[documents[c] for c in columns],
-            F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+            *[rows[c] for c in columns],
+            F.explode(F.sequence(F.lit(1), times["copies"])).alias(key),
         )
-        .select(*columns)
+        .drop(key)
     )
 
 

@@ -155,6 +155,24 @@ def test_mix_holds_targets_and_limits(spark, odd_documents, no_documents):
     assert mixing.repeat_taken(no_documents).count() == 0
 
 
+def test_rows_of_one_id_are_repeated_by_their_own_count(spark):
+    kind = "doc_id long, source string, text string, row long, copies long"
+    rows = [(1, "a", "x y"), (1, "a", "x z"), (1, "b", "one two three"), (2, "c", "z " * 40), (2, "c", "y")]
+    rows += [(None, "abc"[i % 3], f"w{i} " * (1 + i % 4)) for i in range(12)] + [(None, "a", "same")] * 3
+    documents = spark.createDataFrame([(*r, 7, 7) for r in rows], kind)
+    want = {}
+    for r in mixing.mix(documents).collect():
+        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + r.taken
+    got, often = {}, {}
+    for r in mixing.repeat_taken(documents).collect():
+        size = len(r.text.split())
+        got[r.doc_id, size] = got.get((r.doc_id, size), 0) + size
+        often[r] = often.get(r, 0) + 1
+        assert (r.row, r.copies) == (7, 7)
+    assert got == {k: v for k, v in want.items() if v}
+    assert all(n <= 3 * rows.count((r.doc_id, r.source, r.text)) for r, n in often.items())
+
+
 def test_buckets_do_not_change_the_mix(spark, monkeypatch):
     documents = table(spark, SF, "documents")
     whole = sorted(map(tuple, mixing.mix(documents).collect()))
