@@ -23,7 +23,12 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""
-DAMPING, ROUNDS, CUT = 0.85, 8, 0.5
+DAMPING, CUT = 0.85, 0.5
+#: Most that any host's share may still change when propagation ends; rounds after which it
+#: is an error (mass falls to 0.85 of itself a round).
+TOLERANCE, MOST_ROUNDS = 1e-9, 1000
+#: Rounds that the SQL unrolls, which stops there.
+ROUNDS = 8
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -79,63 +84,77 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS
+    seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """``host, pages, trust, distrust`` after ``rounds`` of propagation.
+    """``host, pages, trust, distrust`` of the fixed point.
 
     ``seeds`` has ``host, pages, allowed, blocked`` (numbers of pages); every host of the
     graph that has pages is in it.  Mass that reaches a host without further links, or
-    without pages, ends there.  One row per host and distinct edge; each round is written to
-    the shared folder, so the plan stays small and a lost executor costs one round.
+    without pages, ends there.  A round sends on what the last one brought; no more than
+    ``damping`` of it arrives, so the sum of all that is still to come is known.  Rounds go on
+    until that is less than ``tolerance`` of the share of a host of one page.  One row per
+    host and distinct edge; each round is written to the shared folder, so the plan stays
+    small and a lost executor costs one round.
     """
     out = edges.groupBy("source").agg(F.sum("weight").alias("out"))
     back = edges.groupBy("target").agg(F.sum("weight").alias("into"))
+    steps = edges.join(out, "source").join(back, "target")
+    zero = F.lit(0.0)
+    forward = steps.select(
+        F.col("source").alias("from"),
+        F.col("target").alias("to"),
+        (damping * F.col("weight") / F.col("out")).alias("forward"),
+        zero.alias("backward"),
+    )
+    backward = steps.select(
+        F.col("target").alias("from"),
+        F.col("source").alias("to"),
+        zero.alias("forward"),
+        (damping * F.col("weight") / F.col("into")).alias("backward"),
+    )
+    known = seeds.select(F.col("host").alias("to"))
     steps = stored(
-        edges.join(out, "source")
-        .join(back, "target")
-        .select(
-            "source",
-            "target",
-            (F.col("weight") / F.col("out")).alias("forward"),
-            (F.col("weight") / F.col("into")).alias("backward"),
-        )
+        forward.unionByName(backward)
+        .groupBy("from", "to")
+        .agg(F.sum("forward").alias("forward"), F.sum("backward").alias("backward"))
+        .join(known, "to", "left_semi")
     )
     rest = 1 - damping
+    trust, distrust = F.col("allowed") * rest, F.col("blocked") * rest
+    # what has arrived, and what of it came with the last round
     state = stored(
         seeds.select(
             "host",
-            "pages",
-            (F.col("allowed") * rest).alias("seed_trust"),
-            (F.col("blocked") * rest).alias("seed_distrust"),
-            (F.col("allowed") * rest).alias("trust"),
-            (F.col("blocked") * rest).alias("distrust"),
+            trust.alias("trust"),
+            distrust.alias("distrust"),
+            trust.alias("new_trust"),
+            distrust.alias("new_distrust"),
         )
     )
-    if steps.isEmpty():
-        rounds = 0
-    for _ in range(rounds):
-        sent = steps.join(state, steps["source"] == state["host"]).select(
-            F.col("target").alias("to"),
-            (F.col("trust") * F.col("forward")).alias("t"),
-            F.lit(0.0).alias("d"),
-        )
-        returned = steps.join(state, steps["target"] == state["host"]).select(
-            F.col("source").alias("to"),
-            F.lit(0.0).alias("t"),
-            (F.col("distrust") * F.col("backward")).alias("d"),
+    for n in range(MOST_ROUNDS + 1):
+        new = state.agg(F.greatest(F.sum("new_trust"), F.sum("new_distrust"))).first()[0] or 0.0
+        if new * damping / rest < tolerance * rest:
+            break
+        if n == MOST_ROUNDS:
+            raise RuntimeError(f"trust did not settle in {MOST_ROUNDS} rounds")
+        moving = state.where("new_trust > 0 or new_distrust > 0")
+        got = steps.join(moving, steps["from"] == moving["host"]).select(
+            F.col("to").alias("host"),
+            (F.col("new_trust") * F.col("forward")).alias("t"),
+            (F.col("new_distrust") * F.col("backward")).alias("d"),
         )
-        got = sent.unionByName(returned).groupBy("to").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+        kept = state.select("host", "trust", "distrust", zero.alias("t"), zero.alias("d"))
         state = stored(
-            state.join(got, state["host"] == got["to"], "left").select(
-                "host",
-                "pages",
-                "seed_trust",
-                "seed_distrust",
-                (F.col("seed_trust") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
-                (F.col("seed_distrust") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
+            kept.unionByName(got.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"), "t", "d"))
+            .groupBy("host")
+            .agg(
+                F.sum("trust").alias("trust"),
+                F.sum("distrust").alias("distrust"),
+                F.sum("t").alias("new_trust"),
+                F.sum("d").alias("new_distrust"),
             )
         )
-    return state.select("host", "pages", "trust", "distrust")
+    return seeds.select("host", "pages").join(state.select("host", "trust", "distrust"), "host")
 
 
 def judge(pages: DataFrame, rules=RULES, cut: float = CUT) -> DataFrame:

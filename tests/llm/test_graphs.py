@@ -217,6 +217,32 @@ def test_trust_and_distrust_walk_the_links(spark):
     assert url_trust.judge(pages.limit(0)).count() == 0
 
 
+def test_trust_settles_at_the_fixed_point(spark):
+    chain = [f"h{i}" for i in range(14)]
+    edges = [(a, b, 1.0) for a, b in zip(chain, chain[1:])]
+    edges += [("x", "y", 2.0), ("y", "x", 1.0), ("h0", "gone", 1.0)]
+    seeds = [(h, 1, 0, 0) for h in chain[:-1]] + [(chain[-1], 100, 0, 100), ("x", 100, 4, 9), ("y", 100, 0, 9)]
+    hosts = {s[0]: i for i, s in enumerate(seeds)}
+    forward, backward = np.zeros((2, len(hosts), len(hosts)))
+    for a, b, w in edges:
+        if b in hosts:
+            forward[hosts[b], hosts[a]] = w / sum(e[2] for e in edges if e[0] == a)
+            backward[hosts[a], hosts[b]] = w / sum(e[2] for e in edges if e[1] == b)
+    eye = np.eye(len(hosts))
+    trust = np.linalg.solve(eye - 0.85 * forward, 0.15 * np.array([s[2] for s in seeds]))
+    distrust = np.linalg.solve(eye - 0.85 * backward, 0.15 * np.array([s[3] for s in seeds]))
+    got = url_trust.propagate(
+        spark.createDataFrame(seeds, "host string, pages long, allowed long, blocked long"),
+        spark.createDataFrame(edges, "source string, target string, weight double"),
+        tolerance=0.01,
+    ).collect()
+    assert {r.host for r in got} == set(hosts)
+    for r in got:
+        assert abs(r.trust - trust[hosts[r.host]]) <= 0.01 * 0.15
+        assert abs(r.distrust - distrust[hosts[r.host]]) <= 0.01 * 0.15
+        assert r.host not in "xy" or r.distrust > 0.5 * 0.15 * r.pages
+
+
 def test_revisits_by_time_and_validator(spark, monkeypatch):
     h = lambda **x: [(k.replace("_", "-"), v) for k, v in x.items()]
     rows = [
