@@ -23,6 +23,7 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""
+ABSOLUTE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
 DAMPING, CUT = 0.85, 0.5
 #: Most that any host's share may still change when propagation ends; rounds after which it
 #: is an error (mass falls to 0.85 of itself a round).
@@ -58,14 +59,15 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 def host_edges(pages: DataFrame) -> DataFrame:
     """``source, target, weight``: links between hosts, and between a host and its parent.
 
-    Links are absolute ``href`` values in the page; relative ones stay on the host.  A host
+    Links are ``href`` values that begin with a scheme and ``://`` or with ``//``; all others
+    are relative and stay on the host.  A host
     and the domain directly above it, if that has pages too, belong together: an edge of
     weight 1 each way.  Counts are combined before the shuffle, so a page or host with very
     many links costs one row per target.
     """
     link = F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("link")
-    links = pages.where("host <> ''").select("host", link).where(F.instr("link", "://") > 0)
-    target, _ = host_and_path(F.col("link"))
+    links = pages.where("host <> ''").select("host", link).where(F.col("link").rlike(ABSOLUTE))
+    target, _ = host_and_path(F.regexp_replace("link", ABSOLUTE, "://"))
     linked = links.select(F.col("host").alias("source"), target.alias("target"))
     hosts = pages.where("host <> ''").select("host").distinct()
     parent = hosts.select(

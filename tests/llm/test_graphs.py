@@ -217,6 +217,13 @@ def test_trust_and_distrust_walk_the_links(spark):
     assert url_trust.judge(pages.limit(0)).count() == 0
 
 
+def test_links_to_other_hosts_begin_with_their_host(spark):
+    links = ["//Other.org/x", "http://plain.org/x", "/go?u=http://query.org/x", "go//x", "#a://b.org", "view+x://v.org"]
+    html = "".join(f'<a href="{x}">x</a>' for x in links)
+    pages = spark.createDataFrame([("a.org", html)], "host string, html string")
+    assert {r.target for r in url_trust.host_edges(pages).collect()} == {"other.org", "plain.org", "v.org"}
+
+
 def test_trust_settles_at_the_fixed_point(spark):
     chain = [f"h{i}" for i in range(14)]
     edges = [(a, b, 1.0) for a, b in zip(chain, chain[1:])]
