@@ -101,6 +101,19 @@ def test_neighbours_against_brute_force(spark):
         assert hits >= least * 10 * len(found)
 
 
+@pytest.mark.parametrize("rows", [4096, 51_282, 200_000, 1 << 19, 1 << 23])
+def test_probes_find_the_neighbours_at_every_size(rows):
+    plan = ann.Plan.for_rows(rows, 64)
+    x = ann.unit(np.random.default_rng(8).normal(size=(6000, 64)), plan.width)
+    found = np.zeros((40, len(x)), bool)
+    for number in range(plan.tables):
+        keys = ann.bucket_keys(x, plan, number)
+        for i, probes in enumerate(ann.probe_keys(x[:40], plan, number)):
+            found[i] |= np.isin(keys, probes)
+    nearest = np.argsort(-(x[:40] @ x.T), 1)[:, 1:11]
+    assert np.take_along_axis(found, nearest, 1).mean() >= 0.95
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0])]
