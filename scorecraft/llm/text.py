@@ -23,8 +23,9 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
+_STEP = 0x9E3779B97F4A7C15
+#: What is kept of a chunk of which so many bytes lie behind its span.
+_KEPT = np.array([(1 << 8 * (8 - n)) - 1 for n in range(9)], np.uint64)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -89,29 +90,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        _powers.clear()
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            factors = np.full(size + 1, base, np.uint64)
-            factors[0] = 1
-            _powers.append(np.cumprod(factors))
-    return _powers[0], _powers[1]
-
-
 class SpanHash:
-    """64-bit hashes of any spans of a buffer, from one polynomial prefix sum."""
+    """64-bit hashes of any spans of a buffer.
+
+    A span is read as chunks of eight bytes, the last one filled with zeros.  Every chunk is
+    mixed with its number in the span, which is no linear function of its bytes, and the
+    results are summed; so no pattern of bytes cancels out, and the place of a span in the
+    buffer does not matter.
+    """
 
     def __init__(self, data: np.ndarray):
-        powers, self.inverse = _power(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        table = mix(np.arange(256, dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03))
-        np.cumsum(table[data] * powers[: len(data)], out=self.sums[1:])
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        self.chunks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(raw + (ends - starts).astype(np.uint64))
+        size = ends - starts
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        count = np.maximum((size + 7) >> 3, 1)
+        first = np.cumsum(count) - count
+        nth = np.arange(first[-1] + count[-1]) - np.repeat(first, count)
+        chunk = self.chunks[np.repeat(starts, count) + 8 * nth]
+        unused = np.maximum(8 * (nth + 1) - np.repeat(size, count), 0)
+        chunk &= _KEPT[unused]
+        places = mix(np.arange(1, int(count.max()) + 1, dtype=np.uint64) * np.uint64(_STEP))
+        return mix(np.add.reduceat(mix(chunk ^ places[nth]), first) + size.astype(np.uint64))
 
 
 def shingles(hashes: np.ndarray, documents: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -72,6 +72,8 @@ class Encoder:
     Strings of special tokens in a text are ordinary text.  One per worker and file.
     """
 
+    cuts = staticmethod(cuts)
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
@@ -92,11 +94,11 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    @staticmethod
-    def of(path: str) -> Encoder:
-        if path not in _tokenizers:
-            _tokenizers[path] = Encoder(path)
-        return _tokenizers[path]
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if (cls, path) not in _tokenizers:
+            _tokenizers[cls, path] = cls(path)
+        return _tokenizers[cls, path]
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number for words of letters, each with a blank before it or not."""
@@ -117,7 +119,8 @@ class Encoder:
         ids = [e.ids for e in found]
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids])
 
-    def _learn(self, keys, pieces: list[bytes], word: np.ndarray) -> None:
+    def _encode(self, pieces: list[bytes], word: np.ndarray):
+        """The order in which the pieces are taken, and their ids and sizes in that order."""
         order = np.argsort(~word, kind="stable")
         n = int(word.sum())
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -126,9 +129,12 @@ class Encoder:
                 i, size = encode([pieces[k] for k in part.tolist()])
                 ids.append(i)
                 sizes.append(size)
-        size = np.concatenate(sizes)
+        return order, np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, keys, pieces: list[bytes], word: np.ndarray) -> None:
+        order, ids, size = self._encode(pieces, word)
         begin = np.cumsum(size) - size + len(self.pool)
-        self.pool = np.concatenate([self.pool, *ids])
+        self.pool = np.concatenate([self.pool, ids])
         new = np.argsort(keys[order])
         fresh = keys[order][new]
         at = np.searchsorted(self.keys, fresh)
@@ -142,7 +148,7 @@ class Encoder:
         ``end`` is appended to every text.  Null texts count as empty.
         """
         data, bounds = tx.flat(array)
-        starts = cuts(data, bounds)
+        starts = self.cuts(data, bounds)
         stops = np.append(starts[1:], len(data))
         keys = tx.SpanHash(data)(starts, stops)
         coded = pa.array(keys).dictionary_encode()

@@ -9,6 +9,14 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long,
 LONG = "Word one two three four. Plain text, again and again " * 4000
 
 
+def doubled(times: int) -> tuple[str, str]:
+    """A word and its complement, of ``2 ** times`` letters, that polynomial hashes confuse."""
+    a, b = "a", "b"
+    for _ in range(times):
+        a, b = a + b, b + a
+    return a, b
+
+
 @pytest.fixture(scope="session")
 def odd_documents(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and columns with clashing names."""
@@ -25,6 +33,8 @@ def odd_documents(spark):
         (8, "one", "en", "a", 4, 0.0, 0, 0, 0),
         (9, "ONE", "en", "a", 4, 0.0, 0, 0, 0),
     ]
+    words = [*doubled(10), *doubled(12)]
+    rows += [(20 + i, w, "en", "a", 4, 0.0, 0, 0, 0) for i, w in enumerate(words)]
     return spark.createDataFrame(rows, DOCUMENTS)
 
 

@@ -10,7 +10,22 @@ from scorecraft.llm import packing, token_blocks
 from scorecraft.llm.store import shared_folder, table
 from scorecraft.llm.tokens import Encoder
 
-from .conftest import SF
+from scorecraft.llm import text as tx
+
+from .conftest import SF, doubled
+
+
+def test_span_hashes_tell_texts_apart():
+    rng = np.random.default_rng(2)
+    words = [w for n in range(1, 15) for w in doubled(n)] + ["", "\0", "\0\0", "a" * 8, "a" * 9, "a" * 16]
+    words += ["".join(rng.choice(list("ab"), rng.integers(1, 40))) for _ in range(4000)]
+    places = rng.permutation(np.repeat(np.arange(len(words)), 2))  # each word in two places
+    data = np.frombuffer("".join(words[i] for i in places).encode(), np.uint8)
+    size = np.array([len(words[i]) for i in places])
+    ends = np.cumsum(size)
+    keys = tx.SpanHash(data)(ends - size, ends)
+    assert len({(words[i], k) for i, k in zip(places, keys.tolist())}) == len(set(words)) == len(set(keys.tolist()))
+    assert len(tx.SpanHash(data[:0])(ends[:0], ends[:0])) == 0
 
 
 def test_pieces_give_the_library_ids(vocabulary, tokenizer):
