@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -46,3 +48,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     warehouse = spark.conf.get("spark.sql.warehouse.dir")
     context.setCheckpointDir(configured or f"{warehouse.rstrip('/')}/checkpoints")
+
+
+class Scratch:
+    """Tables of one computation in the folder that driver and executors share.
+
+    A written table cuts the lineage like a checkpoint, and its size is known to the
+    optimizer, so small ones are broadcast without a hint.  ``drop`` removes them all.
+    """
+
+    def __init__(self, spark: SparkSession):
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
+            "spark.sql.warehouse.dir"
+        )
+        self.spark = spark
+        self.folder = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.tables = 0
+
+    def write(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        """``df`` written and read back, and the aggregates ``metrics`` of its rows, which are
+        taken while it is written."""
+        self.tables += 1
+        path, seen = f"{self.folder}/{self.tables}", Observation()
+        if metrics:
+            df = df.observe(seen, *[value.alias(name) for name, value in metrics.items()])
+        df.write.parquet(path)
+        found = {name: seen.get.get(name) or 0 for name in metrics}
+        return self.spark.read.schema(df.schema).parquet(path), found
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        configuration = self.spark.sparkContext._jsc.hadoopConfiguration()
+        path.getFileSystem(configuration).delete(path, True)
