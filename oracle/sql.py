@@ -443,7 +443,7 @@ INDEX_COLUMNS = [c for c, *_ in INDEX]
 REGION_CONTRAST = f"""WITH {AGGREGATE},
 means AS (
   SELECT region_type, count(*) AS areas,
-         {', '.join(over(f'sum(cast({c} as decimal(18,6)))', f'count({c})') + f' AS {c}' for c in INDEX_COLUMNS)}
+         {', '.join(over(f'fsum({c})', f'count({c})') + f' AS {c}' for c in INDEX_COLUMNS)}
   FROM vw_5yr_aggregate GROUP BY 1),
 reference AS (SELECT {', '.join(f'{c} AS ref_{c}' for c in INDEX_COLUMNS)}
               FROM means WHERE region_type = 'MACHINERY')
@@ -548,8 +548,8 @@ SELECT cms_certification_number, facility_name, state, ownership_type, certified
        {dbl('composite_quality_score')}, quality_tier, national_rank, state_rank
 FROM vw_quality_scores"""
 
-HOURS_MEAN = over("sum(cast(rn_hours_per_resident as decimal(18,6)))", "count(*)")
-READMISSION_MEAN = over("sum(cast(readmission_rate_30d as decimal(18,6)))", "count(*)")
+HOURS_MEAN = over("fsum(rn_hours_per_resident)", "count(rn_hours_per_resident)")
+READMISSION_MEAN = over("fsum(readmission_rate_30d)", "count(readmission_rate_30d)")
 QUALITY_MEAN = over("sum(composite_quality_score)", "count(composite_quality_score)")
 STAFFING_QUARTILES = f"""WITH {SCORED_FACILITIES},
 binned AS (

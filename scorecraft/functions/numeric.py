@@ -31,9 +31,14 @@ def hundredths(value: Column) -> Column:
     """A double with two decimals (money, percent, hours) as an exact bigint.
 
     Casting every row from double to decimal goes through text and costs several times
-    the rest of an aggregation; rounding to a bigint stays in generated code.
+    the rest of an aggregation; rounding to a bigint stays in generated code.  A value with
+    more than two decimals is an error, as its digits would be lost.
     """
-    return F.rint(value * 100).cast("bigint")
+    units = F.rint(value * 100)
+    # the double nearest to two decimals, times 100, is off by two roundings at most
+    lost = F.abs(value * 100 - units) > F.abs(units) * 2.0**-50
+    error = F.raise_error(F.concat(F.lit("more than two decimals: "), value.cast("string")))
+    return F.when(lost, error.cast("bigint")).otherwise(units.cast("bigint"))
 
 
 def exact_sum(units: Column, unit: str) -> Column:
@@ -54,12 +59,6 @@ def mean(value: Column) -> Column:
     return ratio(F.sum(value), F.count(value))
 
 
-def fixed_mean(value: Column) -> Column:
-    """Mean of a double column, summed as whole millionths so that it is order-free."""
-    millionths = F.rint(value * 1_000_000).cast("bigint")
-    return ratio(exact_sum(millionths, "0.000001"), F.count(value))
-
-
 def presentable(df: DataFrame) -> DataFrame:
     """Decimals as double and integers as bigint, for consumers outside Spark."""
     columns = []

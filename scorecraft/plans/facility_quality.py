@@ -11,7 +11,8 @@ from scorecraft.functions.banding import (
     TRAJECTORY_SEGMENTS,
     code_label,
 )
-from scorecraft.functions.numeric import fixed_mean, mean, ratio, rounded
+from scorecraft.functions.exact import exact_means
+from scorecraft.functions.numeric import mean, ratio, rounded
 from scorecraft.operators.normalize import CompositeSpec, Domain, Metric, composite_scores
 from scorecraft.operators.peers import above_group_mean
 from scorecraft.operators.ranking import ntile, rank_overall_and_within
@@ -118,23 +119,27 @@ def staffing_quartiles(scores: DataFrame, spec: CompositeSpec = QUALITY) -> Data
         F.asc(KEY),
         name="rn_staffing_quartile",
     )
-    quartiles = binned.groupBy("rn_staffing_quartile").agg(
-        F.count(F.lit(1)).alias("facility_count"),
-        fixed_mean(F.col("rn_hours_per_resident")).alias("hours"),
-        fixed_mean(F.col("readmission_rate_30d")).alias("readmission"),
-        mean(F.col(spec.composite)).alias("quality"),
+    quartiles = exact_means(
+        binned,
+        ["rn_staffing_quartile"],
+        ["rn_hours_per_resident", "readmission_rate_30d"],
+        {
+            "facility_count": F.lit(1).cast("bigint"),
+            "quality": F.col(spec.composite),
+            "scored": F.when(F.col(spec.composite).isNotNull(), F.lit(1).cast("bigint")),
+        },
     )
-    best = quartiles.where(F.col("rn_staffing_quartile") == 4).select("readmission").scalar()
+    best = quartiles.where(F.col("rn_staffing_quartile") == 4).select("readmission_rate_30d").scalar()
     return quartiles.select(
         "rn_staffing_quartile",
         code_label(F.col("rn_staffing_quartile"), STAFFING_QUARTILE_LABELS).alias(
             "staffing_tier_label"
         ),
         "facility_count",
-        rounded(F.col("hours"), 2).alias("avg_rn_hours"),
-        rounded(F.col("readmission"), 2).alias("avg_readmission_rate"),
-        rounded(F.col("quality"), 1).alias("avg_quality_score"),
-        rounded(F.col("readmission") - best, 2).alias("readmission_gap_vs_best_staffed"),
+        rounded(F.col("rn_hours_per_resident"), 2).alias("avg_rn_hours"),
+        rounded(F.col("readmission_rate_30d"), 2).alias("avg_readmission_rate"),
+        rounded(ratio(F.col("quality"), F.col("scored")), 1).alias("avg_quality_score"),
+        rounded(F.col("readmission_rate_30d") - best, 2).alias("readmission_gap_vs_best_staffed"),
     ).orderBy("rn_staffing_quartile")
 
 

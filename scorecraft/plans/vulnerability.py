@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions.banding import VULNERABILITY_TIERS
-from scorecraft.functions.numeric import fixed_mean, rounded
+from scorecraft.functions.exact import exact_means
+from scorecraft.functions.numeric import rounded
 from scorecraft.operators.normalize import CompositeSpec, Domain, Metric, composite_scores
 from scorecraft.operators.ranking import rank_descending
 
@@ -115,9 +116,8 @@ def region_contrast(
     aggregate: DataFrame, baseline: str, spec: CompositeSpec = VULNERABILITY
 ) -> DataFrame:
     """Mean of every metric by region type and its difference from the baseline type."""
-    means = aggregate.groupBy("region_type").agg(
-        F.count(F.lit(1)).alias("areas"),
-        *[fixed_mean(F.col(name)).alias(name) for name in spec.columns],
+    means = exact_means(
+        aggregate, ["region_type"], spec.columns, {"areas": F.lit(1).cast("bigint")}
     )
 
     def entry(name: str) -> Column:

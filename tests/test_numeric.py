@@ -31,6 +31,19 @@ def test_hundredths_of_two_decimal_doubles(spark):
     assert df.where(hundredths(-F.col("x")) != -F.col("id")).count() == 0
 
 
+@pytest.mark.parametrize("value", [0.125, 1e-7, 12345678.901, -0.005])
+def test_hundredths_refuse_more_decimals(spark, value):
+    df = spark.createDataFrame([(0.25,), (None,), (value,)], "x double")
+    with pytest.raises(Exception, match="more than two decimals"):
+        df.select(hundredths(F.col("x"))).collect()
+
+
+def test_hundredths_of_large_amounts(spark):
+    cents = [10**15 + 7, 9_007_199_254_740_991, -(10**13) - 1]
+    df = spark.createDataFrame([(c / 100,) for c in cents], "x double")
+    assert [r[0] for r in df.select(hundredths(F.col("x"))).collect()] == [round(c / 100 * 100) for c in cents]
+
+
 @pytest.mark.parametrize(
     "value, places, expected",
     [(0.8496, 3, "0.850"), (0.8495, 3, "0.850"), (1.005, 2, "1.01"), (0.285, 2, "0.29"),
