@@ -375,6 +375,11 @@ SELECT area_id, base, {', '.join(EVENTS)},
        {', '.join(f"{fixed(name, 4)} AS {name}" for name in RATES)}
 FROM rates"""
 
+RATE_RANK = f"""WITH {POOLED}
+SELECT area_id, base, {fixed("maternal_mortality_rate", 4)} AS maternal_mortality_rate,
+       rank() OVER (ORDER BY maternal_mortality_rate DESC NULLS LAST) AS rate_rank
+FROM rates"""
+
 PROPORTIONAL_ALLOCATION = f"""WITH {POOLED},
 children AS (
   SELECT area_id, cast(c_nationkey as bigint) AS parent_id, base, mortality_events
@@ -731,6 +736,7 @@ SQL = {
     "parent_excess": PARENT_EXCESS,
     "primary_driver": PRIMARY_DRIVER,
     "small_base_flag": SMALL_BASE_FLAG,
+    "rate_rank": RATE_RANK,
     "region_contrast": REGION_CONTRAST,
     "flag_register": FLAG_REGISTER,
     "workstream_status": WORKSTREAM_STATUS,

@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorecraft.operators.joins import BROADCAST_ROWS
-from scorecraft.session import ensure_checkpoint_dir
+
+#: Rows are numbered in ``SIDE ** 2`` ranges, whose borders are quantiles of ``SAMPLE`` rows.
+SIDE, SAMPLE = 32, 1 << 14
 
 
 def _above(hist: DataFrame, score: str, within: Sequence[str], name: str) -> DataFrame:
@@ -74,81 +76,114 @@ def rank_overall_and_within(
     ).drop("hist_group", "hist_score")
 
 
-def number_rows(
-    df: DataFrame, *order: Column, name: str = "row_number", total: str | None = None
-) -> DataFrame:
-    """1-based position of every row in the given total order, and the ``total`` of rows.
+def _ranged(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the range, from 0 to ``SIDE ** 2 - 1``, that a row's order columns
+    lie in.
 
-    Rows are range-partitioned by the full order (a unique last column lets a hot
-    leading value spread over partitions) and sorted inside their partition.  The
-    result is checkpointed before its partition sizes are counted: a partition
-    recomputed after an executor loss could otherwise disagree with the counts.  The
-    offsets that are broadcast have one row per partition.
+    Borders come from a sketch: the ``SAMPLE`` rows of least hash, found by a bounded top-k
+    and read by a scalar subquery.  It depends on the rows only, so every reader of the plan
+    sees the same borders.  They are whole tuples of the order columns, so a value that many
+    rows share is split by the columns after it.  A row is placed in two steps, among the
+    first borders of ``SIDE`` blocks and among those of its block.  The hash is taken over
+    all columns, so the plan below, and its exchanges, are those of the rows themselves.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    # the id holds the partition in its upper bits and the position in the lower 33
-    ordered = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("row_id", F.monotonically_increasing_id())
-        .withColumn("part", F.shiftright("row_id", 33))
-        .withColumn("position", F.col("row_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-        .drop("row_id")
-        .checkpoint()
+    sample = (
+        df.select(F.struct(*order).alias("border"), F.xxhash64(*df.columns).alias("hash"))
+        .orderBy("hash", "border")
+        .limit(SAMPLE)
+        .agg(F.sort_array(F.collect_list("border")).alias("sample"))
     )
-    earlier = W.orderBy("size_part").rowsBetween(W.unboundedPreceding, -1)
-    everywhere = earlier.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    offsets = (
-        ordered.groupBy(F.col("part").alias("size_part"))
-        .agg(F.count(F.lit(1)).alias("size"))
+    cut = F.transform(
+        F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)),
+        lambda i: F.get("sample", F.floor(i * F.size("sample") / F.lit(SIDE * SIDE)).cast("int")),
+    )
+    borders = (
+        sample.select(cut.alias("cut"))
+        .select(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda b: F.slice("cut", b * SIDE + 1, SIDE)
+            ).alias("blocks")
+        )
         .select(
-            "size_part",
-            F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
-            *([F.sum("size").over(everywhere).alias(total)] if total else []),
+            F.struct(F.transform("blocks", lambda x: x[0]).alias("first"), F.col("blocks")).alias("b")
         )
+        .scalar()
     )
+    own = F.struct(*order)
+
+    def passed(values: Column) -> Column:
+        # the first border of all is the least row of the sample; rows below it stay there
+        return F.greatest(F.size(F.filter(values, lambda x: x <= own)) - 1, F.lit(0))
+
+    placed = df.withColumn("range_borders", borders).withColumn(
+        "range_block", passed(F.col("range_borders.first"))
+    )
+    inside = passed(F.get(F.col("range_borders.blocks"), F.col("range_block")))
+    return placed.withColumn(name, F.col("range_block") * SIDE + inside).drop(
+        "range_borders", "range_block"
+    )
+
+
+def _offsets(
+    ranged: DataFrame, column: str, rows: Column, descending: bool, total: str | None = None
+) -> DataFrame:
+    """``range, offset``: the ``rows`` in all ranges before each, a bounded number of rows."""
+    order = F.desc("range") if descending else F.asc("range")
+    earlier = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    everywhere = earlier.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # the digest of all columns keeps the plan below the one that the rows have
+    whole = F.bit_xor(F.xxhash64(*ranged.columns)).alias("digest")
+    sizes = ranged.groupBy(F.col(column).alias("range")).agg(rows.alias("size"), whole)
+    return sizes.where("digest is not null").select(
+        "range",
+        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
+        *([F.sum("size").over(everywhere).alias(total)] if total else []),
+    )
+
+
+def number_rows(
+    df: DataFrame, *order: str, name: str = "row_number", total: str | None = None
+) -> DataFrame:
+    """1-based position of every row by the order columns, ascending with NULLs first, and
+    the ``total`` of rows.
+
+    Rows are numbered inside their range; the rows of earlier ranges are added by a join with
+    one row per range.  The last order column should be unique.  One plan, without a
+    checkpoint: the sketch, the counts and the rows share the exchanges below them.
+    """
+    ranged = _ranged(df, order, "row_range")
+    offsets = _offsets(ranged, "row_range", F.count(F.lit(1)), descending=False, total=total)
+    inside = W.partitionBy("row_range").orderBy(*[F.asc_nulls_first(c) for c in order])
     return (
-        ordered.join(F.broadcast(offsets), F.col("part") == F.col("size_part"))
+        ranged.withColumn("position", F.row_number().over(inside))
+        .join(F.broadcast(offsets), F.col("row_range") == F.col("range"))
         .withColumn(name, F.col("position") + F.col("offset"))
-        .drop("part", "size_part", "position", "offset")
+        .drop("row_range", "range", "position", "offset")
     )
 
 
 def rank_unbounded(df: DataFrame, score: str, name: str) -> DataFrame:
     """``RANK() OVER (ORDER BY score DESC)`` whatever the number of distinct scores.
 
-    The histogram has one row per score and is numbered by range; the count of rows
-    above a score is a running sum in two steps, inside ranges and over the ranges.
+    The histogram has one row per score and is ranged like the rows of ``number_rows``; the
+    count of rows above a score is a running sum in two steps, inside ranges and over them.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    hist = (
-        df.groupBy(F.col(score).alias("hist_score"))
-        .agg(F.count(F.lit(1)).alias("hist_rows"))
-        .repartitionByRange(F.desc_nulls_last("hist_score"))
-        .withColumn("part", F.spark_partition_id())
-        .checkpoint()
-    )
+    hist = df.groupBy(F.col(score).alias("hist_score")).agg(F.count(F.lit(1)).alias("hist_rows"))
+    ranged = _ranged(hist, ["hist_score"], "hist_range")
+    offsets = _offsets(ranged, "hist_range", F.sum("hist_rows"), descending=True)
     inside = (
-        W.partitionBy("part")
+        W.partitionBy("hist_range")
         .orderBy(F.desc_nulls_last("hist_score"))
         .rowsBetween(W.unboundedPreceding, -1)
     )
-    earlier = W.orderBy("size_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        hist.groupBy(F.col("part").alias("size_part"))
-        .agg(F.sum("hist_rows").alias("size"))
-        .select("size_part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
-    )
-    ranks = hist.join(F.broadcast(offsets), F.col("part") == F.col("size_part")).select(
+    ranks = ranged.join(F.broadcast(offsets), F.col("hist_range") == F.col("range")).select(
         "hist_score",
         (F.coalesce(F.sum("hist_rows").over(inside), F.lit(0)) + F.col("offset") + 1).alias(name),
     )
     return df.join(ranks, F.col(score).eqNullSafe(F.col("hist_score"))).drop("hist_score")
 
 
-def ntile(df: DataFrame, buckets: int, *order: Column, name: str = "bucket") -> DataFrame:
+def ntile(df: DataFrame, buckets: int, *order: str, name: str = "bucket") -> DataFrame:
     """``NTILE(buckets)`` over a total order; the first ``n % buckets`` get one row more."""
     numbered = number_rows(df, *order, name="tile_row", total="tile_rows")
     sized = numbered.selectExpr(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorecraft.functions.banding import (
@@ -115,8 +116,8 @@ def staffing_quartiles(scores: DataFrame, spec: CompositeSpec = QUALITY) -> Data
     binned = ntile(
         scores.select(KEY, "rn_hours_per_resident", "readmission_rate_30d", spec.composite),
         4,
-        F.asc_nulls_first("rn_hours_per_resident"),
-        F.asc(KEY),
+        "rn_hours_per_resident",
+        KEY,
         name="rn_staffing_quartile",
     )
     quartiles = exact_means(
@@ -129,7 +130,9 @@ def staffing_quartiles(scores: DataFrame, spec: CompositeSpec = QUALITY) -> Data
             "scored": F.when(F.col(spec.composite).isNotNull(), F.lit(1).cast("bigint")),
         },
     )
-    best = quartiles.where(F.col("rn_staffing_quartile") == 4).select("readmission_rate_30d").scalar()
+    # over the four rows; a subquery would read the facilities once more
+    in_best = F.when(F.col("rn_staffing_quartile") == 4, F.col("readmission_rate_30d"))
+    best = F.max(in_best).over(W.partitionBy(F.lit(1)))
     return quartiles.select(
         "rn_staffing_quartile",
         code_label(F.col("rn_staffing_quartile"), STAFFING_QUARTILE_LABELS).alias(

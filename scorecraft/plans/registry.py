@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.functions.numeric import presentable, rounded
+from scorecraft.functions.numeric import rounded
+from scorecraft.operators.ranking import rank_unbounded
 from scorecraft.operators.rates import allocate_by_share, benchmark_excess, flag_small_base
 from scorecraft.operators.validation import reconcile
 from scorecraft.plans import facility_quality as quality
@@ -100,6 +101,15 @@ def parent_excess(db: StarSchema) -> DataFrame:
     )
 
 
+def rate_rank(db: StarSchema) -> DataFrame:
+    """Every area's place by its unrounded rate, of which there is no bounded number."""
+    rate = "maternal_mortality_rate"
+    rates = adapters.pooled_area_rates(db).select("area_id", "base", rate)
+    return rank_unbounded(rates, rate, "rate_rank").select(
+        "area_id", "base", rounded(F.col(rate), 4).alias(rate), "rate_rank"
+    )
+
+
 def source_reconciliation(db: StarSchema) -> DataFrame:
     return reconcile(
         adapters.order_totals(db),
@@ -147,6 +157,7 @@ REPORTS: dict[str, Callable[[StarSchema], DataFrame]] = {
     "parent_excess": parent_excess,
     "primary_driver": lambda db: vulnerability.primary_driver(_scored_areas(db)),
     "small_base_flag": small_base_flag,
+    "rate_rank": rate_rank,
     "region_contrast": lambda db: vulnerability.region_contrast(
         adapters.five_year_aggregate(db), BASELINE_REGION
     ),
@@ -172,5 +183,5 @@ REPORTS: dict[str, Callable[[StarSchema], DataFrame]] = {
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
-    """One report with its numbers as double and bigint."""
-    return presentable(REPORTS[name](StarSchema(spark, folder)))
+    """One report; amounts and rounded values are decimals."""
+    return REPORTS[name](StarSchema(spark, folder))

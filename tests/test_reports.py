@@ -62,6 +62,7 @@ READS = {  # report: table, times it may be read
     "program_summary": [("lineitem", 1)],
     "composite_scorecard": [("lineitem", 1), ("orders", 1)],
     "quality_scores": [("lineitem", 2)],  # measures, and one column for the newest quarter
+    "staffing_quartiles": [("lineitem", 2)],
     "proportional_allocation": [("lineitem", 1), ("orders", 1)],
     "benchmark_excess": [("lineitem", 1), ("orders", 1)],
     "parent_excess": [("lineitem", 1), ("orders", 1)],
@@ -86,6 +87,11 @@ def test_shuffled_joins_give_the_same_rows(spark, db, joins):
         assert differences(entry.queries()[name](spark, FOLDER), db, entry.oracle_sql()[name]) == []
 
 
+def test_quartiles_are_one_plan(spark):
+    plan = executed_plan(entry.queries()["staffing_quartiles"](spark, FOLDER))
+    assert "ExistingRDD" not in plan
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = executed_plan(entry.queries()["trajectory_segments"](spark, FOLDER))
     assert "ReadSchema: struct<l_suppkey:bigint,l_returnflag:string,l_shipdate:timestamp_ntz>" in plan
