@@ -136,6 +136,13 @@ SELECT workstream_id, workstream_name, report_week,
        cost_risk_flag, schedule_risk_flag, completion_risk_flag, budget_exposure_flag
 FROM flags"""
 
+WATCH_LIST = f"""WITH {FLAGS}
+SELECT cost_risk_flag, budget_exposure_flag, count(*) AS workstreams,
+       cast(min(cpi) as double) AS worst_cpi,
+       cast(count(CASE WHEN schedule_risk_flag = 'CRITICAL' THEN 1 END) as bigint) AS critical_schedules,
+       cast(sum(projected_overrun) as double) AS overrun
+FROM flags GROUP BY cost_risk_flag, budget_exposure_flag"""
+
 SUMMARY = (
     CURRENT
     + f""",
@@ -723,6 +730,7 @@ SQL = {
     "earned_value": EARNED_VALUE,
     "variance_trend": VARIANCE_TREND,
     "risk_flags": RISK_FLAGS,
+    "watch_list": WATCH_LIST,
     "program_summary": PROGRAM_SUMMARY,
     "composite_scorecard": COMPOSITE_SCORECARD,
     "quality_scores": QUALITY_SCORES,

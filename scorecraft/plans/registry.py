@@ -14,7 +14,7 @@ from scorecraft.operators.validation import reconcile
 from scorecraft.plans import facility_quality as quality
 from scorecraft.plans import performance as perf
 from scorecraft.plans import portfolio, vulnerability
-from scorecraft.sources import adapters
+from scorecraft.sources import adapters, views
 from scorecraft.sources.adapters import AREA_RATES
 from scorecraft.sources.tables import StarSchema
 
@@ -164,6 +164,7 @@ REPORTS: dict[str, Callable[[StarSchema], DataFrame]] = {
     "flag_register": lambda db: perf.flag_register(
         _flags(db), perf.declining_streak(_metrics(db))
     ),
+    "watch_list": lambda db: views.query(db, "SELECT * FROM vw_watch_list", "vw_watch_list"),
     "workstream_status": lambda db: perf.workstream_status(_flags(db), "NOT_STARTED"),
     "declining_streak": lambda db: perf.declining_streak(_metrics(db)),
     "program_scorecard": lambda db: perf.program_scorecard(perf.program_summary(_metrics(db))),

@@ -152,13 +152,13 @@ def test_trend_windows_share_an_exchange(spark):
 
 
 def test_named_views(spark):
-    from scorecraft.sources import adapters, views
+    from scorecraft.sources import views
     from scorecraft.sources.tables import StarSchema
 
-    base = StarSchema(spark, FOLDER)
-    views.register_performance_views(adapters.weekly_performance(base), adapters.workstreams(base))
-    views.register_quality_views(adapters.quality_measures(base), adapters.facilities(base))
-    views.register_area_view(adapters.five_year_aggregate(base))
+    order = views.register(StarSchema(spark, FOLDER))
+    assert sorted(order) == sorted(v.name for v in views.VIEWS)
+    for view in views.VIEWS:
+        assert all(order.index(n) < order.index(view.name) for n in view.needs)
     counts = {name: spark.table(name).count() for name in (
         "vw_earned_value", "vw_variance_trend", "vw_risk_flags", "vw_quality_scores",
         "vw_5yr_aggregate")}
@@ -168,6 +168,29 @@ def test_named_views(spark):
     assert worst.c is not None
 
 
+def test_views_are_stacked_by_their_needs(spark):
+    from scorecraft.sources.tables import StarSchema
+    from scorecraft.sources.views import View, register
+
+    base = StarSchema(spark, FOLDER)
+    stack = [
+        View("top", ("middle", "numbers"), "SELECT count(*) AS n FROM middle JOIN numbers USING (id)"),
+        View("middle", ("numbers",), lambda numbers: numbers.where("id > 2")),
+        View("numbers", (), lambda db: db.spark.range(5)),
+        View("other", ("absent",), "SELECT 1"),
+        View("a", ("b",), "SELECT 1"),
+        View("b", ("a",), "SELECT 1"),
+    ]
+    assert register(base, "top", views=stack) == ["numbers", "middle", "top"]
+    assert spark.table("top").first().n == 2
+    register(base, "top", views=stack, numbers=spark.range(9))
+    assert spark.table("top").first().n == 6
+    with pytest.raises(ValueError, match="no view 'absent'"):
+        register(base, "other", views=stack)
+    with pytest.raises(ValueError, match="need each other"):
+        register(base, "a", views=stack)
+
+
 def test_report_is_written(spark, tmp_path):
     from scorecraft.sources.tables import write_report
 
