@@ -128,11 +128,12 @@ def usable(vector: Column, dim: int) -> Column:
 
 
 def vector_classes(embeddings: DataFrame, dim: int, k: int) -> DataFrame:
-    """``class_id, vector, members`` of every different usable vector.
+    """``class_id, vector, members, most`` of every different usable vector.
 
-    ``members`` are its ``k + 1`` smallest ids, all that a result of ``k`` can name besides
-    the query's own; ``class_id`` is the smallest.  Ids are cut down per task before the
-    shuffle.  Vectors are told apart by two 64-bit hashes.
+    ``members`` are rows of its ``k + 1`` smallest ids, ``k`` of an id at most, and so all
+    that a result of ``k`` can name whichever id asks; ``class_id`` is the smallest id, and
+    ``most`` the most members of one id.  Rows of an id are counted map-side, and ids cut
+    down per task, before the shuffle.  Vectors are told apart by two 64-bit hashes.
     """
     vector = F.col("embedding").cast("array<double>")
     rows = (
@@ -145,17 +146,23 @@ def vector_classes(embeddings: DataFrame, dim: int, k: int) -> DataFrame:
             F.xxhash64(F.lit(2), "vector").alias("k2"),
         )
     )
+    ids = rows.groupBy("k1", "k2", "vec_id").agg(
+        F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"),
+        F.first("vector").alias("vector"),
+    )
     first = Window.partitionBy("k1", "k2").orderBy("vec_id")
+    members = F.flatten(F.collect_list(F.expr("array_repeat(vec_id, copies)")))
     return (
-        rows.withColumn("nth", F.row_number().over(first))
+        ids.withColumn("nth", F.row_number().over(first))
         .where(F.col("nth") <= k + 1)
         .groupBy("k1", "k2")
         .agg(
             F.min("vec_id").alias("class_id"),
             F.min_by("vector", "vec_id").alias("vector"),
-            F.sort_array(F.collect_list("vec_id")).alias("members"),
+            F.sort_array(members).alias("members"),
+            F.max("copies").alias("most"),
         )
-        .select("class_id", "vector", "members")
+        .select("class_id", "vector", "members", "most")
     )
 
 
@@ -254,7 +261,7 @@ def search(
     candidates of their own, and ask once.  A query whose buckets hold fewer than ``k``
     candidates is searched exactly.  Other columns are not read.
     """
-    dim = embeddings.where(F.size("embedding") > 0).agg(F.mode(F.size("embedding"))).first()[0] or 1
+    dim = embeddings.where(F.size("embedding") > 0).agg(F.mode(F.size("embedding"), deterministic=True)).first()[0] or 1
     classes = stored(vector_classes(embeddings, dim, k))
     size = classes.agg(F.count(F.lit(1)), F.sum(F.size("members"))).first()
     plan = plan or Plan.for_rows(size[0], dim)
@@ -285,9 +292,14 @@ def search(
     members = classes.select(F.col("class_id").alias("found"), "members")
     nearest = stored(_nearest(scored, k).join(members, "found"))
 
-    wanted = min(k + 1, size[1] or 0)
-    held = nearest.groupBy("query").agg(F.sum(F.size("members")).alias("held")).where(
-        F.col("held") >= wanted
+    # as many as any one id of the class needs beside its own rows, or all there are
+    wanted = F.least(F.col("most") + k, F.lit(size[1] or 0))
+    held = (
+        nearest.groupBy("query")
+        .agg(F.sum(F.size("members")).alias("held"))
+        .join(asked.select(F.col("class_id").alias("query"), "most"), "query")
+        .where(F.col("held") >= wanted)
+        .select("query", "held")
     )
     short = asked.join(held, asked["class_id"] == held["query"], "left_anti")
     exact = _scanned(short, classes, dim, k)

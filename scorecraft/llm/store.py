@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders written by the step that runs, and those of the step before it.
+_running: list[list[str]] = []
+_finished: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, else below the session's warehouse.
@@ -15,7 +21,34 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.sql.warehouse.dir"
     )
-    return f"{base.rstrip('/')}/scorecraft-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/scorecraft-{uuid.uuid4().hex}"
+    if _running:
+        _running[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a written table, wherever Spark's file systems keep it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    where.getFileSystem(configuration).delete(where, True)
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """A stage of a pipeline whose result is written before the next stage begins.
+
+    What the stage before wrote for its own use is deleted now, as its result no longer
+    reads it; what this one writes is deleted by the next.  So a pipeline holds the tables
+    of one stage at a time.
+    """
+    while _finished:
+        delete(spark, _finished.pop())
+    _running.append([])
+    try:
+        yield
+    finally:
+        _finished.extend(_running.pop())
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:

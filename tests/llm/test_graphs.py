@@ -128,6 +128,22 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(vectors.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_of_an_id_on_many_rows(spark):
+    rng = np.random.default_rng(9)
+    same, others = [1.0, 0.0, 0.0, 0.0], rng.normal(size=(30, 4)).tolist()
+    rows = [(100, same)] * 12 + [(i, same) for i in (201, 202, 203)] + [(202, same)] * 14
+    rows += [(300 + i, x) for i, x in enumerate(others)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(vectors, F.col("vec_id").isin(100, 202)).collect()
+    found = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (100, 202)}
+    assert found == {100: [201, *[202] * 9], 202: [100] * 10}
+    few = ann.search(vectors.where("vec_id < 203"), F.col("vec_id") == 202).collect()
+    assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] == [100] * 10
+    lone = spark.createDataFrame([(100, same)] * 12 + [(i, same) for i in (201, 202, 203)], vectors.schema)
+    three = ann.search(lone.union(vectors.where("vec_id > 299")), F.col("vec_id") == 100).collect()
+    assert [r.vec_id for r in sorted(three, key=lambda r: r["rank"])][:3] == [201, 202, 203] and len(three) == 10
+
+
 def test_neighbours_by_scan_when_buckets_are_empty(spark):
     vectors = table(spark, SF, "embeddings")
     thin = ann.Plan(64, 1, 2, 1)
