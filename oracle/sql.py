@@ -688,6 +688,18 @@ SELECT coalesce(l.record_id, r.record_id) AS record_id, {dbl('left_value', 'righ
             ELSE 'match' END AS status
 FROM l FULL JOIN r ON l.record_id = r.record_id"""
 
+EXTRACT_RECONCILIATION = f"""WITH l AS (
+  SELECT o_orderkey AS record_id, cast(o_totalprice as decimal(18,2)) AS left_value FROM orders),
+r AS (
+  SELECT cast(cast(o_orderkey as varchar) as bigint) AS record_id,
+         cast(cast(cast(o_totalprice as decimal(18,2)) as varchar) as decimal(18,2)) AS right_value
+  FROM orders)
+SELECT coalesce(l.record_id, r.record_id) AS record_id, {dbl('left_value', 'right_value')},
+       cast(left_value - right_value as double) AS difference,
+       CASE WHEN left_value IS NULL THEN 'missing_left' WHEN right_value IS NULL THEN 'missing_right'
+            WHEN left_value <> right_value THEN 'mismatch' ELSE 'match' END AS status
+FROM l FULL JOIN r ON l.record_id = r.record_id"""
+
 CLEAN_NORMALIZE = """WITH typed AS (
   SELECT o_orderkey AS record_id, lower(trim(o_orderstatus)) AS status,
          try_cast(split_part(o_orderpriority, '-', 1) as integer) AS priority_code,
@@ -754,6 +766,7 @@ SQL = {
     "risk_stratification": RISK_STRATIFICATION,
     "claims_reimbursement": CLAIMS_REIMBURSEMENT,
     "source_reconciliation": SOURCE_RECONCILIATION,
+    "extract_reconciliation": EXTRACT_RECONCILIATION,
     "clean_normalize": CLEAN_NORMALIZE,
     "predictive_features": PREDICTIVE_FEATURES,
     "above_peer_mean": ABOVE_PEER_MEAN,

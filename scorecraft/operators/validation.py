@@ -60,17 +60,66 @@ def reject_duplicates(
     ).drop("survivor")
 
 
+#: Buckets of keys whose digests are compared; one row each is the most that is broadcast.
+BUCKETS = 4096
+
+
+def _digests(side: DataFrame, key: str, value: str) -> DataFrame:
+    """``bucket, digest``: the number of rows and two order-free checksums of each bucket."""
+    sums = [F.bit_xor(F.xxhash64(F.lit(seed), key, value)) for seed in (1, 2)]
+    return side.groupBy(_bucket(key).alias("bucket")).agg(
+        F.struct(F.count(F.lit(1)), *sums).alias("digest")
+    )
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(0), key), F.lit(BUCKETS))
+
+
+def differing_buckets(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
+    """``bucket``: those whose rows are not the same on both sides, ``BUCKETS`` at most."""
+    other = _digests(right, key, value).select(F.col("bucket").alias("in"), F.col("digest").alias("of"))
+    both = _digests(left, key, value).join(other, F.col("bucket") == F.col("in"), "full")
+    return both.where(~F.col("digest").eqNullSafe(F.col("of"))).select(
+        F.coalesce("bucket", "in").alias("bucket")
+    )
+
+
 def reconcile(
-    left: DataFrame, right: DataFrame, key: str, value: str, tolerance: Column
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    value: str,
+    tolerance: Column,
+    mostly_equal: bool = False,
 ) -> DataFrame:
     """Compare two sources key by key.
 
     ``tolerance`` may use ``left_value``, ``right_value`` and their ``difference``.
-    Both sides must have one row per key, so a shuffle on the key cannot be skewed.
+    Both sides must have one row per key, so a shuffle on the key cannot be skewed.  Rows
+    with a null key match nothing.
+
+    Sources that are ``mostly_equal`` are compared by digests of buckets of keys first.
+    Only buckets that differ in any digit are shuffled and joined; the rows of the others
+    are those of the left side, with the same value on the right.  The result is the same.
     """
-    matched = left.select(key, F.col(value).alias("left_value")).join(
-        right.select(key, F.col(value).alias("right_value")), key, "full"
-    )
+    ours = left.select(key, F.col(value).alias("left_value"))
+    theirs = right.select(key, F.col(value).alias("right_value"))
+    if not mostly_equal:
+        matched = ours.join(theirs, key, "full")
+    else:
+        # null keys have a bucket as well, but match nothing, so they are always joined
+        unequal = F.broadcast(differing_buckets(left, right, key, value))
+        in_unequal = _bucket(key) == unequal["bucket"]
+        open_ours = ours.where(F.col(key).isNotNull()).join(unequal, in_unequal, "left_semi")
+        open_theirs = theirs.where(F.col(key).isNotNull()).join(unequal, in_unequal, "left_semi")
+        same = ours.where(F.col(key).isNotNull()).join(unequal, in_unequal, "left_anti")
+        matched = (
+            open_ours.join(open_theirs, key, "full")
+            .unionByName(same.withColumn("right_value", F.col("left_value")))
+            .unionByName(ours.where(F.col(key).isNull()), allowMissingColumns=True)
+            .unionByName(theirs.where(F.col(key).isNull()), allowMissingColumns=True)
+        )
     return matched.withColumn(
         "difference", F.col("left_value") - F.col("right_value")
     ).withColumn(

@@ -120,6 +120,22 @@ def source_reconciliation(db: StarSchema) -> DataFrame:
     )
 
 
+def extract_reconciliation(db: StarSchema) -> DataFrame:
+    """Order totals against those of the text extract, which agree but for what is lost."""
+    extract = adapters.raw_orders(db).select(
+        F.col("record_id").cast("bigint").alias("record_id"),
+        F.col("amount").cast("decimal(18,2)").alias("amount"),
+    )
+    return reconcile(
+        adapters.order_totals(db),
+        extract,
+        key="record_id",
+        value="amount",
+        tolerance=F.lit(0).cast("decimal(3,2)"),
+        mostly_equal=True,
+    )
+
+
 def area_rollup(db: StarSchema) -> DataFrame:
     nation, region = db.table("nation"), db.table("region")
     counties = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
@@ -176,6 +192,7 @@ REPORTS: dict[str, Callable[[StarSchema], DataFrame]] = {
         adapters.claims(db), unit=adapters.CENT_PERCENT
     ),
     "source_reconciliation": source_reconciliation,
+    "extract_reconciliation": extract_reconciliation,
     "clean_normalize": lambda db: portfolio.clean_orders(adapters.raw_orders(db)),
     "predictive_features": lambda db: quality.predictive_features(adapters.quality_measures(db)),
     "above_peer_mean": lambda db: quality.above_peer_mean(_scored_facilities(db)),

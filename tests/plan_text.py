@@ -28,3 +28,21 @@ def scans(plan: str, table: str) -> int:
     ids = set(re.findall(r"^[ :+\-*]*Scan parquet +\((\d+)\)", plan, re.M))
     located = re.findall(r"^\((\d+)\) Scan parquet.*?Location: \S+ \[([^\]]*)\]", plan, re.M | re.S)
     return sum(1 for i, path in located if i in ids and path.endswith(f"/{table}.parquet"))
+
+
+def shuffled_rows(df) -> list[int]:
+    """Rows written by each shuffle of the final plan, after running it once."""
+    df.collect()
+    found, open_plans = [], [df._jdf.queryExecution().executedPlan()]
+    while open_plans:
+        plan = open_plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            open_plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            open_plans.append(plan.plan())
+        if kind == "ShuffleExchangeExec":
+            found.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        children = plan.children()
+        open_plans += [children.apply(i) for i in range(children.size())]
+    return found

@@ -5,8 +5,11 @@ from __future__ import annotations
 import datetime
 from decimal import Decimal
 
+import pytest
+from plan_text import shuffled_rows
 from pyspark.sql import functions as F
 
+from scorecraft.operators import validation
 from scorecraft.operators.validation import clean_records, reconcile, reject_duplicates
 from scorecraft.plans import portfolio
 
@@ -57,6 +60,40 @@ def test_reconcile(spark):
                    4: (None, "missing_left")}
 
 
+def sides(spark, tmp_path, changed):
+    """5000 keys on both sides, of which the right one lacks, adds and changes some."""
+    left = spark.range(5000).selectExpr("id AS k", "CAST(id % 97 AS decimal(9,2)) AS v")
+    right = left.where(f"k >= {changed}").unionByName(
+        spark.range(9000, 9000 + changed).selectExpr("id AS k", "CAST(1 AS decimal(9,2)) AS v")
+    ).withColumn("v", F.when(F.col("k") >= 5000 - changed, F.col("v") + 1).otherwise(F.col("v")))
+    for name, df in (("left", left), ("right", right.repartition(3))):
+        df.write.parquet(str(tmp_path / name))
+    return [spark.read.parquet(str(tmp_path / name)) for name in ("left", "right")]
+
+
+@pytest.mark.parametrize("changed", [0, 1, 40, 5000])
+def test_digests_do_not_change_the_reconciliation(spark, tmp_path, changed):
+    left, right = sides(spark, tmp_path, changed)
+    nulls = spark.createDataFrame([(None, None), (None, None)], left.schema)
+    pair = left.unionByName(nulls), right.unionByName(nulls.limit(1))
+    plain, quick = (
+        reconcile(*pair, "k", "v", F.lit(0), mostly_equal=quick) for quick in (False, True)
+    )
+    assert quick.columns == plain.columns
+    assert quick.exceptAll(plain).count() == plain.exceptAll(quick).count() == 0
+
+
+def test_equal_sources_shuffle_digests_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(validation, "BUCKETS", 64)
+    left, right = sides(spark, tmp_path, 0)
+    rows = reconcile(left, right, "k", "v", F.lit(0), mostly_equal=True)
+    assert sum(shuffled_rows(rows)) <= 2 * 64 * left.rdd.getNumPartitions() * 3
+    assert rows.where("status <> 'match'").count() == 0 and rows.count() == 5000
+    one = right.withColumn("v", F.when(F.col("k") == 7, F.lit(0)).otherwise(F.col("v")))
+    assert validation.differing_buckets(left, one, "k", "v").count() == 1
+    assert [r.k for r in reconcile(left, one, "k", "v", F.lit(0), mostly_equal=True).where("status <> 'match'").collect()] == [7]
+
+
 def test_claims_having_rank_and_rollup(spark):
     def lines(code, payer, paid):
         return [(code, payer, 100, p, p == 0) for p in paid]
