@@ -50,6 +50,10 @@ def _scored_facilities(db: StarSchema) -> DataFrame:
     )
 
 
+def _placed_areas(db: StarSchema) -> DataFrame:
+    return adapters.areas(db).select("area_id", "parent_id")
+
+
 def multi_year_rates(db: StarSchema) -> DataFrame:
     return adapters.pooled_area_rates(db).select(
         "area_id",
@@ -64,10 +68,8 @@ def proportional_allocation(db: StarSchema) -> DataFrame:
 
     The customers' own events stay in the result, beside what they were allocated.
     """
-    children = (
-        adapters.pooled_area_rates(db)
-        .join(adapters.areas(db).select("area_id", "parent_id"), "area_id")
-        .select("area_id", "parent_id", "base", "mortality_events")
+    children = adapters.pooled_area_rates(db, of=_placed_areas(db)).select(
+        "area_id", "parent_id", "base", "mortality_events"
     )
     parents = children.groupBy("parent_id").agg(
         F.sum("base").alias("parent_base"), F.sum("mortality_events").alias("parent_value")
@@ -92,9 +94,7 @@ def cohort_excess(db: StarSchema) -> DataFrame:
 
 
 def parent_excess(db: StarSchema) -> DataFrame:
-    placed = adapters.pooled_area_rates(db).join(
-        adapters.areas(db).select("area_id", "parent_id"), "area_id"
-    )
+    placed = adapters.pooled_area_rates(db, of=_placed_areas(db))
     excess = benchmark_excess(placed, AREA_RATES, parent="parent_id")
     return excess.select(
         "area_id", "parent_id", "base", *[f"{name}_excess_pct" for name in RATE_NAMES]
@@ -144,8 +144,7 @@ def area_rollup(db: StarSchema) -> DataFrame:
         F.col("n_name").alias("county"),
     )
     placed = (
-        adapters.pooled_area_rates(db, years=None)
-        .join(adapters.areas(db).select("area_id", "parent_id"), "area_id")
+        adapters.pooled_area_rates(db, years=None, of=_placed_areas(db))
         .join(counties, "parent_id")
         .withColumnRenamed("area_id", "zip_code")
     )

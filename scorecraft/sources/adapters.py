@@ -172,11 +172,17 @@ def area_year_counts(
 
 
 def pooled_area_rates(
-    db: StarSchema, years: tuple[int, int] | None = (FIRST_YEAR, LAST_YEAR)
+    db: StarSchema,
+    years: tuple[int, int] | None = (FIRST_YEAR, LAST_YEAR),
+    of: DataFrame | None = None,
 ) -> DataFrame:
-    """Pooled rates of every area; one without events has base 0 and NULL rates."""
+    """Pooled rates of every area; one without events has base 0 and NULL rates.
+
+    ``of`` are the areas with what else is wanted of them, so that they are read once; else
+    their ids only.
+    """
     pooled = pooled_rates(area_year_counts(db, years), ["area_id"], AREA_RATES, years=years)
-    every = db.table("customer").select(F.col("c_custkey").alias("area_id"))
+    every = db.table("customer").select(F.col("c_custkey").alias("area_id")) if of is None else of
     counts = ["base", *[rate.events for rate in AREA_RATES]]
     return every.join(pooled, "area_id", "left").na.fill(0, counts)
 
@@ -222,8 +228,7 @@ def five_year_aggregate(db: StarSchema) -> DataFrame:
     """One row per area (customer): pooled rates, names and provider density."""
     density = area_density(db).select("parent_id", "density")
     return (
-        pooled_area_rates(db)
-        .join(areas(db), "area_id")
+        pooled_area_rates(db, of=areas(db))
         .join(broadcast_if_counted(density, parent_areas(db)), "parent_id", "left")
         .select(
             F.col("area_id").alias("zip_code"),

@@ -87,6 +87,19 @@ def test_shuffled_joins_give_the_same_rows(spark, db, joins):
         assert differences(entry.queries()[name](spark, FOLDER), db, entry.oracle_sql()[name]) == []
 
 
+@pytest.mark.parametrize("name", ["disparity_gap", "primary_driver", "parent_excess", "area_rollup"])
+def test_areas_are_read_with_their_rates(spark, name):
+    """Once for the areas and once, where density is a metric, for the population."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = executed_plan(entry.queries()[name](spark, FOLDER))
+    finally:
+        spark.conf.set(key, before)
+    assert scans(plan, "customer") == (2 if name in ("disparity_gap", "primary_driver") else 1)
+
+
 def test_quartiles_are_one_plan(spark):
     plan = executed_plan(entry.queries()["staffing_quartiles"](spark, FOLDER))
     assert "ExistingRDD" not in plan
