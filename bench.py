@@ -29,10 +29,6 @@ HEADLINE = (
     "disparity_gap",
     "primary_driver",
     "region_contrast",
-    "delay_cascade",
-    "disparity_gap",
-    "primary_driver",
-    "region_contrast",
 )
 RUNS = 3
 
