@@ -108,14 +108,17 @@ class SpanHash:
         size = ends - starts
         if not len(size):
             return np.zeros(0, np.uint64)
-        count = np.maximum((size + 7) >> 3, 1)
-        first = np.cumsum(count) - count
-        nth = np.arange(first[-1] + count[-1]) - np.repeat(first, count)
-        chunk = self.chunks[np.repeat(starts, count) + 8 * nth]
-        unused = np.maximum(8 * (nth + 1) - np.repeat(size, count), 0)
-        chunk &= _KEPT[unused]
-        places = mix(np.arange(1, int(count.max()) + 1, dtype=np.uint64) * np.uint64(_STEP))
-        return mix(np.add.reduceat(mix(chunk ^ places[nth]), first) + size.astype(np.uint64))
+        places = mix(np.arange(1, (int(size.max()) >> 3) + 2, dtype=np.uint64) * np.uint64(_STEP))
+        total = mix(self.chunks[starts] & _KEPT[np.maximum(8 - size, 0)] ^ places[0])
+        long = np.flatnonzero(size > 8)
+        if len(long):  # most spans are words, and one chunk
+            count = (size[long] - 1) >> 3
+            first = np.cumsum(count) - count
+            nth = np.arange(first[-1] + count[-1]) - np.repeat(first - 1, count)
+            chunk = self.chunks[np.repeat(starts[long], count) + 8 * nth]
+            chunk &= _KEPT[np.maximum(8 * (nth + 1) - np.repeat(size[long], count), 0)]
+            total[long] += np.add.reduceat(mix(chunk ^ places[nth]), first)
+        return mix(total + size.astype(np.uint64))
 
 
 def shingles(hashes: np.ndarray, documents: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
