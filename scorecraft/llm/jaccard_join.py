@@ -4,12 +4,16 @@
    By that order every set has a prefix so long that two similar sets share a shingle of
    their prefixes: a set that shares none has too small a bound on its overlap.
 2. Equal sets become one class.  Classes whose minimum hashes collide are compared with the
-   few of their bucket that collide most; verified links make groups of similar documents.
+   few of their bucket that collide most; verified links make components, and components
+   about half as near to a larger one as the threshold asks join it in one group.
 3. The token-group matrix has a row for each shingle and group: the union of its members'
    prefixes, with the range of their sizes.  A class meets the groups in the rows of its own
-   prefix; only a group whose bound on the overlap reaches the threshold qualifies and is
-   opened, and only its members whose own bound reaches it are compared with the class.
-4. Every comparison is exact, over whole sets; links join groups to components.
+   prefix.  A group of one member is bounded by the shingles shared so far and those to come.
+4. A group of several is met as blocks of its members.  The union of a block's whole sets
+   bounds the overlap of a class with any of them; only where that reaches the threshold is
+   the block opened, and its members are counted exactly.  Members of the same component
+   are never compared, and a class has one link to each other component of a block.
+5. Every comparison is exact, over whole sets; links join components to the result.
 
 The result is exact whatever was counted in 1 or collided in 2; these decide the work only.
 """
@@ -21,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +40,8 @@ BROADCAST_IDS = 2_000_000
 BANDS, BAND_ROWS = 8, 4
 #: Classes of a bucket that its others are compared with to make groups.
 CENTRES = 3
+#: Shingles of a group's members, and of the classes that ask for it, in one block.
+BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -208,11 +215,13 @@ def only(documents: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return documents.join(ids, "doc_id", how)
 
 
-def linked(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets reach the threshold."""
+def near(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b, linked`` of the pairs whose whole sets are at least half as similar as a link.
+
+    An id with different texts is as near as the nearest of them.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    texts = only(documents.select("doc_id", "text"), ids, "left_semi")
-    texts = stored(texts.groupBy("doc_id").agg(F.max("text").alias("text")))
+    texts = stored(only(documents.select("doc_id", "text"), ids, "left_semi").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,12 +233,143 @@ def linked(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
                 order, first = tx.groups(hashes, rows)
                 union = np.bincount(rows[order[first]], minlength=len(n))
                 common = n + m - union
-                good = (100 * common >= rule.percent * union) & (common > 0)
-                yield piece.select(["a", "b"]).filter(pa.array(good))
+                close = pa.array((200 * common >= rule.percent * union) & (common > 0))
+                good = pa.array(100 * common >= rule.percent * union)
+                found = [piece.column("a"), piece.column("b"), good]
+                yield pa.RecordBatch.from_arrays(found, ["a", "b", "linked"]).filter(close)
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, linked boolean")
+
+
+def clusters(grouped: DataFrame, close: DataFrame) -> DataFrame:
+    """``class, component, grp, members`` from ``class, component`` and near pairs ``a, b``.
+
+    A component with no larger one near it is a hub (ties: the larger id); any other that is
+    near to hubs joins the largest of them, and one that is near to none is a group of its own.
+    """
+    sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    edges = (
+        close.join(grouped.select(F.col("class").alias("a"), F.col("component").alias("g")), "a")
+        .join(grouped.select(F.col("class").alias("b"), F.col("component").alias("h")), "b")
+        .where("g <> h")
+        .select("g", "h")
+    )
+    both = (
+        edges.unionByName(edges.select(F.col("h").alias("g"), F.col("g").alias("h")))
+        .distinct()
+        .join(sizes.select(F.col("component").alias("g"), F.col("size").alias("size_g")), "g")
+        .join(sizes.select(F.col("component").alias("h"), F.col("size").alias("size_h")), "h")
+    )
+    both = stored(both)
+    hubs = (
+        both.groupBy("g")
+        .agg(
+            F.max(F.struct("size_h", "h")).alias("largest"),
+            F.max(F.struct("size_g", "g")).alias("own"),
+        )
+        .where("own > largest")
+        .select(F.col("g").alias("h"))
+    )
+    homes = both.join(hubs, "h").groupBy("g").agg(F.max(F.struct("size_h", "h"))["h"].alias("hub"))
+    placed = grouped.join(homes, grouped["component"] == homes["g"], "left").select(
+        "class", "component", F.coalesce("hub", "component").alias("grp")
+    )
+    members = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+    return placed.join(members, "grp").select("class", "component", "grp", "members")
+
+
+def opened(asks: DataFrame, placed: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
+    """Links ``a, b`` of every class of ``asks(class, grp)`` with the members of the group that
+    are of another component: one link for each such component of a block.
+
+    Members and askers are dealt to blocks of about ``BLOCK`` shingles, so that no task holds a
+    group; every block of members meets every block of askers.
+    """
+    asks = stored(asks)
+    members = placed.join(asks.select("grp").distinct(), "grp", "left_semi")
+    members = stored(members.select("class", "component", "grp"))
+    ids = members.select(F.col("class").alias("doc_id")).union(asks.select("class"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tx.slices(batch):
+                hashes, _, n = sets(piece.column("text"), rule.words)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))
+                columns = [piece.column("doc_id"), pa.array(n.astype(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["class", "n", "hashes"])
+
+    texts = only(documents.select("doc_id", "text"), ids, "left_semi")
+    hashed = stored(
+        texts.mapInArrow(run, "class long, n long, hashes array<long>").where("n > 0").distinct()
+    )
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        total = rows.join(hashed.select("class", "n"), "class").groupBy("grp").agg(F.sum("n").alias(name))
+        return total.withColumn(name, F.ceil(F.col(name) / BLOCK).cast("int"))
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        return (
+            rows.join(deal, "grp")
+            .withColumn("own", F.pmod(F.xxhash64("class"), F.col(own)).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .withColumnsRenamed({"own": f"{own}_block", "other": f"{other}_block"})
+            .drop(own, other)
+        )
+
+    deal = stored(blocks(members, "held").join(blocks(asks, "asking"), "grp"))
+    askers = asks.join(placed.select("class", "component"), "class")
+    columns = ["grp", "held_block", "asking_block", "asks", "class", "component"]
+    rows = (
+        dealt(members, "held", "asking")
+        .withColumn("asks", F.lit(False))
+        .select(columns)
+        .unionByName(dealt(askers, "asking", "held").withColumn("asks", F.lit(True)).select(columns))
+        .join(hashed.select("class", "hashes"), "class")
+    )
+
+    def side(table: pa.Table) -> tuple[np.ndarray, ...]:
+        lists = table.column("hashes").combine_chunks()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        tokens = lists.flatten().to_numpy()
+        return (
+            table.column("class").to_numpy(),
+            table.column("component").to_numpy(),
+            tokens,
+            ends - ends[0],
+        )
+
+    def compare(table: pa.Table) -> pa.Table:
+        asking = table.column("asks").combine_chunks()
+        held, component, tokens, ends = side(table.filter(pa.compute.invert(asking)))
+        others, own, asked, stops = side(table.filter(asking))
+        found: list[tuple[int, int]] = []
+        sizes = np.diff(ends)
+        order = np.argsort(tokens, kind="stable")
+        owner = np.repeat(np.arange(len(held)), sizes)[order]
+        union, first, count = np.unique(tokens[order], return_index=True, return_counts=True)
+        least = sizes.min() if len(sizes) else 0
+        for i in range(len(others) if len(union) else 0):
+            mine = asked[stops[i] : stops[i + 1]]
+            n = len(mine)
+            at = np.minimum(np.searchsorted(union, mine), len(union) - 1)
+            at = at[union[at] == mine]
+            # the union bounds the overlap with any member
+            if (100 + rule.percent) * len(at) < rule.percent * (n + max(least, rule.needed(n))):
+                continue
+            long = count[at]
+            start = np.repeat(first[at] - (np.cumsum(long) - long), long)
+            common = np.bincount(owner[start + np.arange(long.sum())], minlength=len(held))
+            good = (100 + rule.percent) * common >= rule.percent * (n + sizes)
+            good = np.flatnonzero(good & (component != own[i]))
+            _, one = np.unique(component[good], return_index=True)
+            found += [(others[i], b) for b in held[good[one]].tolist()]
+        a, b = (np.array([pair[k] for pair in found], np.int64) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return rows.groupBy("grp", "held_block", "asking_block").applyInArrow(compare, "a long, b long")
 
 
 def join(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -248,6 +388,10 @@ def join(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     classes = narrow.groupBy("f1", "f2").agg(F.min("doc_id").alias("class"))
     of_class = stored(narrow.join(classes, ["f1", "f2"]).select("doc_id", "class"))
     reps = of_class.where("doc_id = class").select("class").distinct()
+    # an id with several texts links their classes
+    repeated = of_class.groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    same_id = of_class.join(repeated.where("low < high"), "doc_id", "left_semi")
+    same_id = same_id.select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
 
     # groups: links with the classes that most others in a bucket of equal hashes are near
     banded = stored(
@@ -265,37 +409,42 @@ def join(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
         .where(F.col("nth") <= CENTRES)
         .select("band", F.col("class").alias("b"))
     )
-    near = (
+    colliding = (
         crowded.join(centres, "band")
         .where("class <> b")
         .select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b"))
         .distinct()
     )
-    first_links = stored(linked(stored(near), documents, rule))
-    groups = stored(components(first_links))
-    grouped = reps.join(groups, reps["class"] == groups["node"], "left").select(
-        "class", F.coalesce("component", "class").alias("grp")
+    close = stored(near(stored(colliding), documents, rule))
+    first_links = close.where("linked").select("a", "b").unionByName(same_id)
+    found_components = stored(components(first_links))
+    grouped = reps.join(found_components, reps["class"] == found_components["node"], "left").select(
+        "class", F.coalesce("component", "class").alias("component")
     )
+    placed = stored(clusters(stored(grouped), close.where("not linked").select("a", "b")))
 
     # the matrix: shingles by groups; a shingle of one group only can match nothing
     entries = (
-        sized.select("doc_id", "n", "prefix")
-        .join(grouped, F.col("doc_id") == F.col("class"))
-        .select("class", "n", "grp", F.posexplode("prefix").alias("pos", "token"))
+        sized.select(F.col("doc_id").alias("class"), "n", "f1", "prefix")
+        .join(placed.select("class", "grp", "members"), "class")
+        .select("class", "f1", "n", "grp", "members", F.posexplode("prefix").alias("pos", "token"))
         .repartition("token")
     )
     lone = F.min("grp") < F.max("grp")
     shared = entries.groupBy("token").agg(lone.alias("several")).where("several").select("token")
     asking = stored(entries.join(shared, "token", "left_semi"))
     matrix = asking.groupBy("token", F.col("grp").alias("other")).agg(
+        F.max("members").alias("size"),
         F.min("n").alias("low"),
         F.max("n").alias("high"),
+        F.min("f1").alias("b_f1"),
+        F.max("f1").alias("last_f1"),
         F.min("class").alias("b"),
-        F.max("class").alias("last"),
         F.max("pos").alias("at"),
     )
+    # the smaller group asks the larger
     fits = (
-        (F.col("other") < F.col("grp"))
+        (F.struct("members", "grp") < F.struct("size", "other"))
         & (F.col("high") * 100 >= F.col("n") * rule.percent)
         & (F.col("low") * rule.percent <= F.col("n") * 100)
     )
@@ -309,49 +458,30 @@ def join(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     met = (
         asking.join(matrix, "token")
         .where(fits)
-        .groupBy("class", "other")
+        .groupBy("class", "f1", "other")
         .agg(
             F.count(F.lit(1)).alias("shared"),
             F.first("n").alias("n"),
+            F.max("size").alias("size"),
             F.min("low").alias("low"),
             F.max("pos").alias("i"),
             F.max("at").alias("j"),
             F.min("b").alias("b"),
-            F.max("last").alias("last"),
-        )
-    )
-    # the group of one member is bounded like that member; others qualify by sharing a shingle
-    qualifying = stored(met.where((F.col("b") < F.col("last")) | enough("n", "low")))
-    alone = qualifying.where("b = last").select(F.col("class").alias("a"), "b")
-
-    # open a group of several: its members that share a shingle of the class's prefix
-    opened = qualifying.where("b < last").select("class", "other")
-    tokens = asking.join(opened, "class").select("class", "other", "token", "n", "pos")
-    members = asking.select(
-        "token",
-        F.col("grp").alias("other"),
-        F.col("class").alias("b"),
-        F.col("n").alias("m"),
-        F.col("pos").alias("at"),
-    )
-    close = (F.col("n") * 100 >= F.col("m") * rule.percent) & (
-        F.col("m") * 100 >= F.col("n") * rule.percent
-    )
-    inside = (
-        tokens.join(members, ["token", "other"])
-        .where(close)
-        .groupBy(F.col("class").alias("a"), "b")
-        .agg(
-            F.count(F.lit(1)).alias("shared"),
-            F.first("n").alias("n"),
-            F.first("m").alias("m"),
-            F.max("pos").alias("i"),
-            F.max("at").alias("j"),
+            F.min("b_f1").alias("b_f1"),
+            F.max("last_f1").alias("last_f1"),
         )
-        .where(enough("n", "m"))
-        .select("a", "b")
     )
-    more_links = linked(stored(alone.unionByName(inside)), documents, rule)
+    # a group of one text is bounded like that text; others are bounded by their blocks' unions
+    one_text = F.col("b_f1") == F.col("last_f1")
+    one = (F.col("size") == 1) & one_text
+    qualifying = stored(met.where(~one | enough("n", "low")))
+    alone = qualifying.where(one).select(F.col("class").alias("a"), "b").distinct()
+    within = placed.where("component <> grp").select("class", "grp")
+    across = qualifying.where(~one).select("class", F.col("other").alias("grp"))
+    asks = across.unionByName(within).distinct()
+
+    pair_links = near(stored(alone), documents, rule).where("linked").select("a", "b")
+    more_links = opened(asks, placed, documents, rule).unionByName(pair_links)
 
     final = components(first_links.unionByName(more_links))
     class_of = of_class.select(F.col("doc_id").alias("id"), "class")

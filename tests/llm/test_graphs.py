@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import numpy as np
@@ -72,6 +73,53 @@ def test_join_of_odd_documents(spark, odd_documents, no_documents):
     ]
 
 
+def test_jaccard_group_with_members_just_below_the_threshold(spark):
+    draw = random.Random(3)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(150):
+        words = list(base)
+        for _ in range(draw.randint(0, 9)):
+            words[draw.randrange(150)] = f"x{draw.randrange(10**6)}"
+        rows.append((3 * i, " ".join(words)))
+    for i in range(40):  # a passage of the group in texts of their own
+        own = [f"y{draw.randrange(400)}" for _ in range(draw.randint(0, 30))]
+        rows.append((1000 + i, " ".join(own + base[:60])))
+    rule = jaccard_join.Rule(4, 85)
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert shown(jaccard_join.join(documents, rule)) == brute_components(rows, rule)
+
+
+def test_jaccard_blocks_cut_a_group_without_losing_links(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = []
+    for i in range(40):
+        words = [f"w{j}" for j in range(60)]
+        for _ in range(draw.randint(0, 3)):
+            words[draw.randrange(60)] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rule = jaccard_join.Rule(4, 80)
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = spark.createDataFrame([(i, i, 0) for i in range(40)], "class long, component long, grp long")
+    asks = placed.select("class", "grp")
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+    links = {(r["a"], r["b"]) for r in jaccard_join.opened(asks, placed, documents, rule).collect()}
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(57)} for i, t in rows}
+    assert links == {
+        (a, b)
+        for a in sets
+        for b in sets
+        if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    }
+
+
+def test_jaccard_links_all_texts_of_an_id(spark):
+    one, two = "a b c d e f g h", "p q r s t u v w"
+    rows = [(5, one), (5, two), (1, one), (7, two), (7, "z " + two), (8, "z " + two + " y")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.join(documents, jaccard_join.Rule(4, 80)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (5, 1), (7, 1), (8, 1)}
+
+
 def test_components_of_random_graphs(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(500 + i, 501 + i) for i in range(40)]
