@@ -127,11 +127,10 @@ def region_contrast(
             rounded(F.col(name) - F.col(f"reference.{name}"), 4).alias("difference"),
         )
 
-    reference = (
-        means.where(F.col("region_type") == baseline)
-        .select(F.struct(*spec.columns))
-        .scalar()
-    )
+    # an aggregate over all types, as a filter would be pushed below the exchanges to share
+    reference = means.agg(
+        F.max(F.when(F.col("region_type") == baseline, F.struct(*spec.columns)))
+    ).scalar()
     return means.withColumn("reference", reference).select(
         "region_type", "areas", F.inline(F.array(*[entry(name) for name in spec.columns]))
     )
