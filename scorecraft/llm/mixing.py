@@ -12,7 +12,7 @@ the global order likewise needs rows of one finish-time bucket only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorecraft.llm.store import stored, table
@@ -74,13 +74,21 @@ def _bits(rows: int) -> int:
     return max(0, (max(rows, 1) // BUCKET_ROWS).bit_length())
 
 
+def _own() -> tuple[Column, Column]:
+    """``size`` and the shuffle hash ``h`` of a document, from its ``doc_id`` and ``text``.
+
+    The text is hashed along, so that rows with one id, or a null one, spread over buckets.
+    """
+    blank = F.lit("")
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), blank), F.coalesce("text", blank))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return size.alias("size"), F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long").alias("h")
+
+
 def mix(
-    documents: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    most: int = MOST_REPEATS,
-    key: str | None = None,
+    documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row, after its ``key`` if named.
+    """``doc_id, size, source_size, target, taken`` of every row.
 
     ``size`` counts the words of the text (null and empty: 0) and ``taken`` the words that
     the mix takes, repeats included: 0 to ``most`` times the size.  A null source is a source
@@ -88,17 +96,12 @@ def mix(
     swap places, which changes no result.  Other columns are not read.  An empty table gives
     an empty result.
     """
-    own = [key] if key else []
-    number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10)
-    sized = stored(
-        documents.select(
-            *own,
-            "doc_id",
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            number.cast("long").alias("h"),
-        )
-    )
+    return _taken(documents, weights, most).drop("source", "h")
+
+
+def _taken(documents: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """``mix`` with the ``source`` and the place ``h`` of every row in its queue."""
+    sized = stored(documents.select("doc_id", "source", *_own()))
     sources = stored(
         with_targets(
             sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most
@@ -108,8 +111,8 @@ def mix(
     bits = _bits(totals["rows"])
     # without a broadcast hint: Spark decides by the size of the table of sources
     keyed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select(
-        *own,
         "doc_id",
+        sized["source"],
         "size",
         "h",
         "n_source",
@@ -197,33 +200,72 @@ def mix(
             )
             chosen = chosen | ((slot(t) == last_slot) & (entry(t) <= literal))
         taken = taken + F.when(chosen & (F.col("size") > 0), F.col("size")).otherwise(0)
-    return placed.select(*own, "doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select(
+        "doc_id", "source", "size", "h", "source_size", "target", taken.alias("taken")
+    )
+
+
+def _borders(taken: DataFrame) -> DataFrame:
+    """``source, least, last, tied, extra``: how often each source's rows with words are taken.
+
+    A source's taken entries are the first of its queue, turn by turn.  So every row is taken
+    ``least`` times, and those up to the place ``last`` once more; a null ``last`` says that
+    all are taken equally often.  Of the ``tied`` rows at that very place, which have one id
+    and text, ``extra`` are taken once more.  One row a source.
+    """
+    place = F.struct("h", "doc_id", "size").alias("place")
+    rows = taken.where("size > 0").select(
+        "source", place, F.expr("cast(taken div size AS int)").alias("copies")
+    )
+    ends = rows.groupBy("source").agg(
+        F.min("copies").alias("least"), F.max(F.struct("copies", "place")).alias("most")
+    )
+    ends = ends.select(
+        F.col("source").alias("of"),
+        "least",
+        F.when(F.col("most.copies") > F.col("least"), F.col("most.place")).alias("last"),
+    )
+    tied = rows.join(
+        ends, rows["source"].eqNullSafe(ends["of"]) & (rows["place"] == ends["last"])
+    ).groupBy("source").agg(
+        F.count(F.lit(1)).alias("tied"), F.count_if(F.col("copies") > F.col("least")).alias("extra")
+    )
+    return ends.join(tied, ends["of"].eqNullSafe(tied["source"]), "left").select(
+        F.col("of").alias("source"), "least", "last", "tied", "extra"
+    )
 
 
 def repeat_taken(documents: DataFrame) -> DataFrame:
     """The rows of ``documents``, each as often as the mix takes it.
 
-    Rows are numbered and written before the mix, so those with one id, or a null one, are
-    each repeated by their own count.
+    Every row tells its own copies from its place in the queue and its source's border, so
+    texts are neither written again nor shuffled.  Where a border parts rows of one id and
+    text, one of them stands for those that are taken once more.
     """
-    key = "row"
-    while key in map(str.lower, documents.columns):
-        key += "_"
-    rows = stored(documents.withColumn(key, F.monotonically_increasing_id()))
-    times = (
-        mix(rows, key=key)
-        .where("taken > 0")
-        .select(F.col(key).alias("taken_row"), F.expr("taken div size").cast("int").alias("copies"))
-    )
-    columns = documents.columns
-    return (
-        rows.join(times, rows[key] == times["taken_row"])
-        .select(
-            *[rows[c] for c in columns],
-            F.explode(F.sequence(F.lit(1), times["copies"])).alias(key),
+    borders = stored(_borders(_taken(documents, WEIGHTS, MOST_REPEATS)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(whole, F.col("source").alias("own_source"), *_own(), "doc_id")
+    place = F.struct("h", "doc_id", "size")
+    # without a broadcast hint: Spark decides by the size of the table of sources
+    met = rows.where("size > 0").join(
+        borders, rows["own_source"].eqNullSafe(borders["source"])
+    ).withColumn("place", place)
+    parted = F.col("tied") > F.col("extra")
+    once_more = (F.col("place") < F.col("last")) | ((F.col("place") == F.col("last")) & ~parted)
+    copies = F.col("least") + F.when(once_more, 1).otherwise(0)
+    # rows taken no times repeat an empty list
+    result = met.select(F.explode(F.array_repeat("row", copies)).alias("row"))
+    if not borders.where(parted).isEmpty():
+        more = (
+            met.where(parted & (F.col("place") == F.col("last")))
+            .groupBy("own_source")
+            .agg(
+                F.min_by("row", F.to_json("row")).alias("row"),
+                F.max("extra").cast("int").alias("extra"),
+            )
         )
-        .drop(key)
-    )
+        result = result.unionByName(more.select(F.explode(F.array_repeat("row", F.col("extra"))).alias("row")))
+    return result.select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +276,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (

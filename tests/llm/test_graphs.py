@@ -252,6 +252,34 @@ def test_rows_of_one_id_are_repeated_by_their_own_count(spark):
     assert all(n <= 3 * rows.count((r.doc_id, r.source, r.text)) for r, n in often.items())
 
 
+def test_a_border_parts_equal_rows(spark):
+    """Rows of one id and text that the mix takes unequally often: the copies add up all the same."""
+    rows = [(5, "a", "same text")] * 40 + [(i, "b", f"w{i} x y") for i in range(100, 130)]
+    rows += [(i, None, f"v{i}") for i in range(200, 220)] + [(6, "b", None), (7, "a", "")]
+    documents = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.mix(documents)
+    want = {(r.doc_id, r.size): r.n for r in mixed.where("taken > 0").groupBy("doc_id", "size").agg(F.sum(F.expr("taken div size")).alias("n")).collect()}
+    got = {}
+    for r in mixing.repeat_taken(documents).collect():
+        key = r.doc_id, len(r.text.split())
+        got[key] = got.get(key, 0) + 1
+    assert got == want
+    borders = {r.source: r for r in mixing._borders(mixing._taken(documents, mixing.WEIGHTS, 3)).collect()}
+    assert borders["a"].tied == 40 and 0 < borders["a"].extra < 40
+
+
+def test_rows_of_one_id_spread_over_buckets(spark):
+    """A third of the rows without an id: no bucket of the queue holds many of them."""
+    documents = spark.range(6000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"),
+        F.lit("a").alias("source"),
+        F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"),
+    )
+    h = mixing._own()[1]
+    largest = documents.select(F.shiftright(h, mixing.HASH_BITS - 5).alias("b")).groupBy("b").count()
+    assert largest.agg(F.max("count")).first()[0] < 2 * 6000 / 32
+
+
 def test_buckets_do_not_change_the_mix(spark, monkeypatch):
     documents = table(spark, SF, "documents")
     whole = sorted(map(tuple, mixing.mix(documents).collect()))
