@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scorecraft.llm import text as tx
 from scorecraft.llm.quality_rules import BAR, DIGIT, ODD, SHOUT, STOP, SYMBOL, UPPER
-from scorecraft.llm.samples import fold, labelled_sample
+from scorecraft.llm.samples import fold, labelled_sample, within_lines
 from scorecraft.llm.store import table
 
-#: Training documents of either class, and the most lines one of them may have.
-PER_CLASS, MOST_LINES = 2000, 256
+#: Training documents of either class, and the most lines that they may have together.
+PER_CLASS, MOST_LINES = 2000, 1 << 16
 N_OWN = 11
 
 
@@ -86,12 +86,14 @@ class Chains:
         active = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")
         self.steps = [starts[order[:a]] + t for t, a in enumerate(active)]
 
-    def marginals(self, unary: np.ndarray, trans: np.ndarray):
+    def marginals(self, unary: np.ndarray, trans: np.ndarray, share: np.ndarray | None = None):
         """Log partition sum over all texts, line marginals and expected transitions.
 
         ``unary`` is the log-odds of good against bad of every line; ``trans[a, b]`` the
-        score of label ``b`` after label ``a``.
+        score of label ``b`` after label ``a``.  Transitions count by the ``share`` of the
+        line they lead to, each as one if none is given.
         """
+        share = np.ones(len(unary)) if share is None else share
         forward, backward = np.zeros((len(unary), 2)), np.zeros((len(unary), 2))
         score = np.stack([np.zeros_like(unary), unary], 1)
         for t, rows in enumerate(self.steps):
@@ -112,7 +114,8 @@ class Chains:
                 joint = forward[goes - 1][:, :, None] + on
                 joint -= joint.max((1, 2), keepdims=True)
                 joint = np.exp(joint)
-                pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+                joint *= (share[goes] / joint.sum((1, 2)))[:, None, None]
+                pairs += joint.sum(0)
         both = forward + backward
         return total, 1 / (1 + np.exp(both[:, 0] - both[:, 1])), pairs
 
@@ -178,14 +181,16 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 120) -> Li
     y = labels[owner]
     chains = Chains(owner, len(texts))
     same = owner[1:] == owner[:-1]
+    # a text counts as one of mean length, however many lines it has
+    n_lines = np.bincount(owner)
+    share = (n_lines.mean() / n_lines)[owner]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:-1][same].astype(int), y[1:][same].astype(int)), 1)
-    # lines by length: a text counts as one, however many lines it has
+    np.add.at(seen, (y[:-1][same].astype(int), y[1:][same].astype(int)), share[1:][same])
     d = z.shape[1]
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        _, good, pairs = chains.marginals(z @ w[:d], w[d:].reshape(2, 2))
-        g = np.concatenate([z.T @ (good - y), (pairs - seen).ravel()]) / len(texts)
+        _, good, pairs = chains.marginals(z @ w[:d], w[d:].reshape(2, 2), share)
+        g = np.concatenate([z.T @ (share * (good - y)), (pairs - seen).ravel()]) / len(texts)
         return g + 1e-3 * w
 
     w = _adam(gradient, np.zeros(d + 4), steps, 0.1)
@@ -203,11 +208,17 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 120) -> Li
     return LineField(centre, scale, field.weights, field.trans, max(float(slope), 1e-3), float(shift))
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> LineField:
+def train(
+    documents: DataFrame,
+    labels: DataFrame,
+    per_class: int = PER_CLASS,
+    most_lines: int = MOST_LINES,
+) -> LineField:
     """A field fitted on a bounded sample of the labelled documents outside the held-out fold.
 
-    At most ``per_class`` documents of either class are read, and only those of up to
-    ``MOST_LINES`` lines are fitted on, so the driver holds a fixed number of lines.
+    At most ``per_class`` documents of either class are read, and so many of them, of every
+    length, that a class has at most ``most_lines`` lines (or one document); so the driver
+    holds a bounded number of lines, and a class of long texts is not lost.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,20 +226,18 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
             for part in tx.slices(batch):
                 own, weight, owner = line_features(*tx.flat(part.column("text")))
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                few = np.diff(cuts) <= MOST_LINES
-                spans = [(a, b) for a, b, f in zip(cuts, cuts[1:], few, strict=False) if f]
-                kept = part.filter(pa.array(few))
+                spans = list(zip(cuts, cuts[1:]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        kept.column("doc_id"),
-                        kept.column("label").cast(pa.int32()),
+                        part.column("doc_id"),
+                        part.column("label").cast(pa.int32()),
                         pa.array([own[a:b].ravel() for a, b in spans], pa.list_(pa.float64())),
                         pa.array([weight[a:b] for a, b in spans], pa.list_(pa.float64())),
                     ],
                     ["doc_id", "label", "x", "w"],
                 )
 
-    sample = labelled_sample(documents, labels, "quality", per_class)
+    sample = within_lines(labelled_sample(documents, labels, "quality", per_class), most_lines)
     rows = sample.mapInArrow(
         features, "doc_id long, label int, x array<double>, w array<double>"
     ).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,25 @@ def labelled_sample(
     ]
     chosen = parts[0].unionByName(parts[1])
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def within_lines(sample: DataFrame, most_lines: int) -> DataFrame:
+    """The documents of a labelled sample, whole, whose lines add up to ``most_lines`` of
+    either class at most.
+
+    Texts of every length stand in the order of their ids' hashes, so a class of long texts
+    has fewer of them.  Those that are longer than the bound by themselves come last; a class
+    keeps its first document in any case.
+    """
+    text = F.coalesce("text", F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    sized = sample.groupBy("doc_id", "label").agg(F.sum(lines).alias("lines"))
+    order = Window.partitionBy("label").orderBy(
+        F.col("lines") > most_lines, F.xxhash64(F.col("doc_id").cast("string")), "doc_id"
+    )
+    upto = F.sum("lines").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = sized.select(
+        "doc_id", upto.alias("upto"), F.row_number().over(order).alias("nth")
+    )
+    chosen = placed.where((F.col("upto") <= most_lines) | (F.col("nth") == 1)).select("doc_id")
+    return sample.join(F.broadcast(chosen), "doc_id", "left_semi")

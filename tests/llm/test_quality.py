@@ -9,6 +9,7 @@ import pyarrow as pa
 
 from scorecraft.llm import quality_crf, quality_rules
 from scorecraft.llm import text as tx
+from scorecraft.llm.samples import within_lines
 from scorecraft.llm.store import table
 
 from .conftest import SF
@@ -127,3 +128,33 @@ def test_lines_and_words_keep_to_their_documents():
     first, last, at = tx.lines(data, bounds)
     assert at.tolist() == [0, 1, 2, 3, 3, 3, 4, 4]
     assert (last - first).tolist() == [3, 0, 0, 1, 0, 1, 0, 0]
+
+
+def test_a_sample_keeps_texts_of_every_length(spark):
+    """A class of long texts has fewer documents, whole ones; the longest come last."""
+    rows = [(i, "line\n" * 9 + "end", 0) for i in range(50)] + [(100 + i, "x\n" * 299 + "y", 1) for i in range(50)]
+    rows += [(200, "z\n" * 5000, 1), (300, None, 0), (300, "a\nb", 0)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    kept = within_lines(sample, 1000).collect()
+    lines = {0: 0, 1: 0}
+    for r in kept:
+        lines[r.label] += (r.text or "").count("\n") + 1
+    assert lines == {0: 503, 1: 900} and all(r.doc_id != 200 for r in kept)
+    assert sorted(r.text is None for r in kept if r.doc_id == 300) == [False, True]
+    alone = within_lines(sample.where("doc_id = 200"), 1000).collect()
+    assert [r.doc_id for r in alone] == [200]
+    assert within_lines(sample.limit(0), 1000).count() == 0
+
+
+def test_shares_weigh_transitions():
+    """Half a share counts half; without shares every line counts as one."""
+    chances = np.random.default_rng(3)
+    owner = np.repeat([0, 1, 2], [4, 1, 3])
+    chains = quality_crf.Chains(owner, 3)
+    unary, trans = chances.normal(size=8), chances.normal(size=(2, 2))
+    total, good, pairs = chains.marginals(unary, trans)
+    same = chains.marginals(unary, trans, np.full(8, 0.5))
+    assert np.allclose(same[2], pairs / 2) and np.allclose(same[1], good) and same[0] == total
+    only = chains.marginals(unary, trans, (owner == 0).astype(float))[2]
+    first = quality_crf.Chains(owner[:4], 1).marginals(unary[:4], trans)[2]
+    assert np.allclose(only, first)
