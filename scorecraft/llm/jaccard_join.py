@@ -221,7 +221,9 @@ def near(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     An id with different texts is as near as the nearest of them.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    texts = stored(only(documents.select("doc_id", "text"), ids, "left_semi").distinct())
+    # dealt by id, texts are told apart and joined to both ends of the pairs by one shuffle
+    texts = only(documents.select("doc_id", "text"), ids, "left_semi")
+    texts = texts.repartition("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,6 +374,21 @@ def opened(asks: DataFrame, placed: DataFrame, documents: DataFrame, rule: Rule)
     return rows.groupBy("grp", "held_block", "asking_block").applyInArrow(compare, "a long, b long")
 
 
+def shared_tokens(entries: DataFrame) -> DataFrame:
+    """The rows of ``row, grp, pos, token`` whose token several groups hold.
+
+    Nearly all tokens are held by one group, so the entries are shuffled once, and with no
+    more columns than these; what else is known of a row is joined to those that are left.
+    """
+    of_token = Window.partitionBy("token")
+    return (
+        entries.withColumn("low", F.min("grp").over(of_token))
+        .withColumn("high", F.max("grp").over(of_token))
+        .where("low < high")
+        .drop("low", "high")
+    )
+
+
 def join(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -382,7 +399,8 @@ def join(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     """
     rule = rule or Rule()
     documents = documents.select("doc_id", "text")
-    found = stored(features(documents, rule))
+    # the number of a row is that of its one written copy
+    found = stored(features(documents, rule).withColumn("row", F.monotonically_increasing_id()))
     sized = found.where("doc_id is not null and n > 0")
     narrow = sized.select("doc_id", "f1", "f2")
     classes = narrow.groupBy("f1", "f2").agg(F.min("doc_id").alias("class"))
@@ -424,15 +442,13 @@ def join(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
     placed = stored(clusters(stored(grouped), close.where("not linked").select("a", "b")))
 
     # the matrix: shingles by groups; a shingle of one group only can match nothing
-    entries = (
-        sized.select(F.col("doc_id").alias("class"), "n", "f1", "prefix")
-        .join(placed.select("class", "grp", "members"), "class")
-        .select("class", "f1", "n", "grp", "members", F.posexplode("prefix").alias("pos", "token"))
-        .repartition("token")
+    own = sized.select(F.col("doc_id").alias("class"), "row", "n", "f1", "prefix")
+    own = own.join(placed.select("class", "grp", "members"), "class")
+    asking = stored(
+        shared_tokens(own.select("row", "grp", F.posexplode("prefix").alias("pos", "token")))
+        .join(own.select("row", "class", "f1", "n", "members"), "row")
+        .select("class", "f1", "n", "grp", "members", "pos", "token")
     )
-    lone = F.min("grp") < F.max("grp")
-    shared = entries.groupBy("token").agg(lone.alias("several")).where("several").select("token")
-    asking = stored(entries.join(shared, "token", "left_semi"))
     matrix = asking.groupBy("token", F.col("grp").alias("other")).agg(
         F.max("members").alias("size"),
         F.min("n").alias("low"),

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from plan_text import exchanges, executed_plan
 from pyspark.sql import functions as F
 
 from scorecraft.llm import ann, chat, jaccard_join, mixing, revisits, url_trust
@@ -120,6 +121,36 @@ def test_jaccard_links_all_texts_of_an_id(spark):
     assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (5, 1), (7, 1), (8, 1)}
 
 
+def test_jaccard_entries_are_shuffled_once(spark):
+    rows = [(i, i % 3, 0, 7) for i in range(6)]  # a token of three groups
+    rows += [(i, 1, 1, 8) for i in range(6)]  # of one group, on many rows
+    rows += [(i, i, 2, 100 + i) for i in range(6)]  # each of its own
+    rows += [(1, 4, 3, -9), (2, 5, 3, -9)]
+    entries = spark.createDataFrame(rows, "row long, grp long, pos int, token long").repartition(3)
+    found = jaccard_join.shared_tokens(entries)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(r for r in rows if r[3] in (7, -9))
+    assert exchanges(executed_plan(found), "hashpartitioning(token") == 1
+
+
+def test_jaccard_pairs_shuffle_texts_once(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{text} {i % 4}") for i in range(8)] * 2 + [(0, "another text"), (9, "far")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs = spark.createDataFrame([(i, j) for i in range(8) for j in range(i)] + [(9, 0)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = jaccard_join.near(pairs, documents, jaccard_join.Rule(4, 80))
+        plan = executed_plan(found)
+        # the texts by their ids once for both ends, the pairs by either end
+        assert exchanges(plan, "hashpartitioning(doc_id") == 1
+        assert exchanges(plan, "hashpartitioning(a") == exchanges(plan, "hashpartitioning(b") == 1
+        links = {(r["a"], r["b"]) for r in found.collect() if r["linked"]}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert links == {(i, j) for i in range(8) for j in range(i)}
+
+
 def test_components_of_random_graphs(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(500 + i, 501 + i) for i in range(40)]
