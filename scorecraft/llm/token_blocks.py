@@ -80,7 +80,7 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.nda
     offsets = grid - least[:, None]
     bits = _widths(offsets)
     rank = -(-BLOCK * percentile // 100) - 1
-    width = np.sort(bits, 1)[:, rank]
+    width = np.partition(bits, rank, 1)[:, rank]
     patched = bits > width[:, None]
     count = patched.sum(1)
     wide = width.astype(np.int64)
@@ -95,7 +95,7 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[np.nda
         if w:
             at = np.flatnonzero(wide == w)
             area[index[at, None] + 6 + np.arange(BLOCK // 8 * w)] = _pack(low[at], w)
-    block, position = np.nonzero(patched)
+    block, position = np.divmod(np.flatnonzero(patched), BLOCK)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
     lists = index + 6 + BLOCK // 8 * wide
     high = (offsets[patched] >> width[block].astype(np.uint64)).astype("<u4")

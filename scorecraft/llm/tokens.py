@@ -85,7 +85,9 @@ class Encoder:
         self.words.encode_special_tokens = True
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.alphabet = _printable()
-        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        spelt = self.words.get_vocab(with_added_tokens=False)
+        self.letters = np.zeros(max(spelt.values()) + 1, np.int64)
+        self.letters[list(spelt.values())] = [len(token) for token in spelt]
         self._forget()
 
     def _forget(self) -> None:
@@ -102,15 +104,13 @@ class Encoder:
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number for words of letters, each with a blank before it or not."""
-        text = b" \n ".join(w.replace(b" ", b"\xff") for w in words).decode("latin-1")
-        # blanks part the words, and a line break stands between two of them; the blank
-        # inside a word has its own letter of the alphabet
-        table = self.alphabet | {0x20: " ", 0xFF: self.alphabet[0x20]}
-        found = self.words.encode_batch_fast([text.translate(table)], add_special_tokens=False)[0]
+        # a line break parts two words and has no id; words hold none themselves
+        text = b"\n".join(words).decode("latin-1").translate(self.alphabet | {0x0A: "\n"})
+        found = self.words.encode_batch_fast([text], add_special_tokens=False)[0]
         ids = np.array(found.ids, np.uint32)
-        breaks = np.flatnonzero(ids == self.line_break)
-        ends = np.append(breaks - np.arange(len(breaks)), len(ids) - len(breaks))
-        return np.delete(ids, breaks), np.diff(ends, prepend=0)
+        # the ids of a word spell all its letters, so its last id ends where it does
+        ends = np.searchsorted(np.cumsum(self.letters[ids]), np.cumsum([len(w) for w in words]))
+        return ids, np.diff(ends + 1, prepend=0)
 
     def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode_batch_fast(
@@ -131,16 +131,16 @@ class Encoder:
                 sizes.append(size)
         return order, np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self, keys, pieces: list[bytes], word: np.ndarray) -> None:
+    def _learn(self, keys, at, pieces: list[bytes], word: np.ndarray) -> None:
+        """Keep new pieces: their keys, ascending, go before the kept ones at ``at``."""
         order, ids, size = self._encode(pieces, word)
         begin = np.cumsum(size) - size + len(self.pool)
         self.pool = np.concatenate([self.pool, ids])
-        new = np.argsort(keys[order])
-        fresh = keys[order][new]
-        at = np.searchsorted(self.keys, fresh)
-        self.keys = np.insert(self.keys, at, fresh)
-        self.begin = np.insert(self.begin, at, begin[new])
-        self.size = np.insert(self.size, at, size[new])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.keys = np.insert(self.keys, at, keys)
+        self.begin = np.insert(self.begin, at, begin[place])
+        self.size = np.insert(self.size, at, size[place])
 
     def ids(self, array: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts and the ``n + 1`` boundaries of texts in them.
@@ -152,40 +152,52 @@ class Encoder:
         stops = np.append(starts[1:], len(data))
         keys = tx.SpanHash(data)(starts, stops)
         coded = pa.array(keys).dictionary_encode()
-        distinct, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        missing = np.ones(len(distinct), bool)
-        if len(self.keys):
-            where = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-            missing = self.keys[where] != distinct
+        found, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        # ascending keys are looked up once, in the order of the kept ones
+        ascending = np.argsort(found)
+        distinct = found[ascending]
+        where, missing = self._look_up(distinct)
         if missing.sum() + len(self.keys) > KEPT_PIECES:
             self._forget()
-            missing[:] = True
+            where, missing = self._look_up(distinct)
         if missing.any():
-            some = np.zeros(len(distinct), np.int64)
+            some = np.zeros(len(found), np.int64)
             some[inverse] = np.arange(len(keys))  # any one place of each piece
-            at = some[missing]
-            self._learn(distinct[missing], *self._cut_out(data, starts[at], stops[at]))
-            where = np.searchsorted(self.keys, distinct)
-        size = self.size[where][inverse] if len(keys) else np.zeros(0, np.int64)
+            at = some[ascending[missing]]
+            self._learn(distinct[missing], where[missing], *self._cut_out(data, starts[at], stops[at]))
+            where = where + np.cumsum(missing) - missing  # new keys stand before it now
+        size, begin = np.empty((2, len(found)), np.int64)
+        size[ascending], begin[ascending] = self.size[where], self.begin[where]
+        size, begin = size[inverse], begin[inverse]
         pieces = np.concatenate([[0], np.cumsum(size)])
         edges = pieces[np.searchsorted(starts, bounds)]
-        source = np.repeat(self.begin[where][inverse] - pieces[:-1], size) if len(keys) else size
-        source = source + np.arange(len(source))
+        source = np.repeat(begin - pieces[:-1], size)
+        source += np.arange(len(source))
         ids = self.pool[source]
         if end is None:
             return ids, edges
         return np.insert(ids, edges[1:], np.uint32(end)), edges + np.arange(len(edges))
 
+    def _look_up(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of ascending keys among the kept ones, and which are not kept yet."""
+        where = np.searchsorted(self.keys, distinct)
+        missing = where == len(self.keys)
+        missing[~missing] = self.keys[where[~missing]] != distinct[~missing]
+        return where, missing
+
     @staticmethod
     def _cut_out(data, starts, stops) -> tuple[list[bytes], np.ndarray]:
         """The pieces, and which are words: letters only, after a blank or none."""
-        latin = np.zeros(len(data), bool)
-        if len(data) > 1:
-            latin[:-1] = (data[:-1] == 0xC3) & (data[1:] != _SIGNS[0]) & (data[1:] != _SIGNS[1])
-            latin[1:] |= latin[:-1]
-        letters = tx.byte_sums(_LETTER[data] | latin)
-        some = letters[stops] - letters[starts]
+        if not len(starts):
+            return [], np.zeros(0, bool)
+        size = stops - starts
+        begin = np.cumsum(size) - size
+        own = data[np.repeat(starts - begin, size) + np.arange(size.sum())]
+        # a letter of two bytes is never cut, so its bytes are neighbours here too
+        latin = np.zeros(len(own) + 1, bool)
+        latin[1:-1] = (own[:-1] == 0xC3) & (own[1:] != _SIGNS[0]) & (own[1:] != _SIGNS[1])
+        some = np.add.reduceat(_LETTER[own] | latin[1:] | latin[:-1], begin, dtype=np.int64)
         blank = data[starts] == 0x20
-        word = (some > 0) & (some + blank == stops - starts)
-        raw = data.tobytes()
-        return [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], word
+        word = (some > 0) & (some + blank == size)
+        raw = own.tobytes()
+        return [raw[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)], word

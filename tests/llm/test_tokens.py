@@ -37,6 +37,26 @@ def test_pieces_give_the_library_ids(vocabulary, tokenizer):
     assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == want
 
 
+def test_keys_are_looked_up_once_and_in_order(vocabulary, tokenizer, monkeypatch):
+    encoder, looked, search = Encoder(vocabulary), [], np.searchsorted
+
+    def counted(kept, wanted, *args, **kwargs):
+        if kept is encoder.keys:
+            looked.append(np.asarray(wanted))
+        return search(kept, wanted, *args, **kwargs)
+
+    monkeypatch.setattr(np, "searchsorted", counted)
+    texts = ["a new étude, 12 of 12", "", "Zweitens: a new größe", "a new étude × 3", "nothing new: a new étude"]
+    for text in texts:
+        ids, edges = encoder.ids(pa.array([text, None, text]))
+        once = tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == 2 * once
+        assert edges.tolist() == [0, len(once), len(once), 2 * len(once)]
+        assert (encoder.keys[1:] > encoder.keys[:-1]).all()
+    assert len(looked) == len(texts)
+    assert all((wanted[1:] > wanted[:-1]).all() for wanted in looked)
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(4)
     for ids in (
