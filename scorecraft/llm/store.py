@@ -8,6 +8,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that Spark hands to a Python worker at once in a pipeline's stages: its own
+#: bound of 64 MB is held several times over, by each task's Arrow buffers and its worker.
+BATCH_BYTES = 4 << 20
+
 #: The folders written by the step that runs, and those of the step before it.
 _running: list[list[str]] = []
 _finished: list[str] = []
@@ -40,8 +44,10 @@ def step(spark: SparkSession) -> Iterator[None]:
 
     What the stage before wrote for its own use is deleted now, as its result no longer
     reads it; what this one writes is deleted by the next.  So a pipeline holds the tables
-    of one stage at a time.
+    of one stage at a time.  The session's batches for Python workers are bounded by
+    ``BATCH_BYTES`` from here on, as a stage's result runs after its step; rows are the same.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     while _finished:
         delete(spark, _finished.pop())
     _running.append([])

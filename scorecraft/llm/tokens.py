@@ -80,9 +80,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # the same vocabulary for words already in the byte-level alphabet
-        self.words = Tokenizer.from_file(path)
-        self.words.encode_special_tokens = True
+        # the same model, held once, for words already in the byte-level alphabet
+        self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.alphabet = _printable()
         spelt = self.words.get_vocab(with_added_tokens=False)

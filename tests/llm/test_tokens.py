@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import tokenizers
 
 from scorecraft.llm import packing, token_blocks
 from scorecraft.llm.store import shared_folder, table
@@ -37,6 +38,23 @@ def test_pieces_give_the_library_ids(vocabulary, tokenizer):
     assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == want
 
 
+def test_an_encoder_holds_its_vocabulary_once(vocabulary, monkeypatch):
+    read, real = [], tokenizers.Tokenizer
+
+    class Counted:
+        def __new__(cls, model):
+            return real(model)
+
+        @staticmethod
+        def from_file(path):
+            read.append(path)
+            return real.from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    Encoder(vocabulary)
+    assert read == [vocabulary]
+
+
 def test_keys_are_looked_up_once_and_in_order(vocabulary, tokenizer, monkeypatch):
     encoder, looked, search = Encoder(vocabulary), [], np.searchsorted
 
