@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -195,6 +196,25 @@ def test_probes_find_the_neighbours_at_every_size(rows):
     assert np.take_along_axis(found, nearest, 1).mean() >= 0.95
 
 
+def test_a_fitted_lookup_meets_a_smaller_share_of_a_larger_table():
+    met, rng = [], np.random.default_rng(11)
+    for rows in (2000, 16_000):
+        x = ann.unit(rng.normal(size=(rows, 64)), 64)
+        nearest = np.argsort(-(x[:40] @ x.T), 1)[:, 1:11]
+        far = np.take_along_axis(x[:40] @ x.T, nearest[:, -1:], 1)[:, 0]
+        plan = replace(ann.Plan.of_keys(rows, 64), hits=12.0)
+        assert ann.KEYS * rows <= plan.keys <= 2 * ann.KEYS * rows
+        keys, before = ann.likely_keys(x[:40], np.full(40, np.median(far)), plan)
+        buckets = ann.table_keys(x, plan)
+        found = np.stack([np.isin(buckets, k[b < plan.hits]).any(1) for k, b in zip(keys, before, strict=True)])
+        assert np.take_along_axis(found, nearest, 1).mean() >= 0.93
+        met.append(found.mean())
+    assert met[1] < 0.6 * met[0]
+    # near neighbours need few keys, so that a dense group is not met in every table
+    near = ann.likely_keys(x[:40], np.full(40, 0.98), plan)[1] < plan.hits
+    assert near.sum() < 0.1 * (before < plan.hits).sum()
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0])]
